@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkCache, chunks
+from .chunks import Encoder
 
 _NONE = 1 << 60
 
@@ -43,14 +43,15 @@ class ByteBPE:
 
         self.ranks, self.memo_limit = ranks, memo_limit
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.find_pieces = regex.compile(pattern).findall
         self.joins: dict[tuple[int, int], bool] = {}
+        self.reachable: set[bytes] = set()
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             if len(token) == 1 or self.merged(token) == [rank]:  # others never come out of BPE
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+                self.reachable.add(token)
         self.automaton.make_automaton()
-        self.cache = ChunkCache(lambda new: [self._chunk(c) for c in new])
+        self.encoder = Encoder(regex.compile(pattern).findall, self._pack)
 
     def merged(self, data: bytes) -> list[int]:
         """BPE by repeated merging of the leftmost pair of lowest rank; used on short inputs only."""
@@ -72,13 +73,12 @@ class ByteBPE:
         return answer
 
     def encode_piece(self, data: bytes) -> list[int]:
-        whole = self.ranks.get(data)
         n = len(data)
+        if data in self.reachable:
+            return [self.ranks[data]]
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (length, token) in self.automaton.iter(data.decode("latin-1")):
             starts[end - length + 1].append((length, token))  # shorter ones end, and come, first
-        if whole is not None and starts[0] and starts[0][-1] == (n, whole):
-            return [whole]
         dead, out, untried, at = bytearray(n + 1), [], [], 0
         left = list(starts[0])
         while at < n:
@@ -98,16 +98,12 @@ class ByteBPE:
                 at, left = untried.pop()
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = [i for piece in self.find_pieces(chunk) for i in self.encode_piece(piece.encode())]
+    def _pack(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode_bytes(self, text: str | None) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        return b"".join(self.cache.values_of(chunks(text))) if text else b""
-
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+        return np.frombuffer(self.encoder.encode_many([text])[0], "<u4").tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -141,8 +137,8 @@ def bpe_roundtrip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
         bpe = encoder(ranks_path, pattern)
         for batch in batches:
             n, ids_sha, text_sha, all_ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                packed = bpe.encode_bytes(text)
+            texts = batch.column("text").to_pylist()
+            for packed in (p for lo in range(0, len(texts), 500) for p in bpe.encoder.encode_many(texts[lo : lo + 500])):
                 ids = np.frombuffer(packed, "<u4")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(packed).hexdigest())

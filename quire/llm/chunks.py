@@ -24,23 +24,51 @@ def chunks(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
-class ChunkCache(dict):
-    """chunk -> value, made by ``make_many(list of new chunks)``.  At most ``limit`` short chunks are
-    kept, so a worker's memory is bounded whatever the vocabulary; longer chunks are never kept."""
-
-    def __init__(self, make_many, limit: int = 400_000, longest: int = 48):
-        super().__init__()
-        self.make_many, self.limit, self.longest = make_many, limit, longest
-
-    def values_of(self, parts: list[str]) -> list:
-        try:
-            return list(map(self.__getitem__, parts))
-        except KeyError:
-            pass
-        new = list({p for p in parts if p not in self})
-        made = dict(zip(new, self.make_many(new), strict=True))
-        found = [made[p] if p in made else self[p] for p in parts]
-        if len(self) + len(made) > self.limit:
-            self.clear()
-        self.update((k, v) for k, v in made.items() if len(k) <= self.longest)
-        return found
+_MARKS = frozenset(".,;:!?\"()")
+
+
+class Encoder:
+    """text -> packed ids, through two bounded caches of a Python worker: chunks and pieces.
+
+    ``find_pieces`` cuts a chunk into pieces (the matches of the pre-tokenizer's pattern) and
+    ``encode_piece`` gives the packed ids of one.  Long chunks and pieces are not kept, and a cache that
+    reaches its limit starts anew, so memory is bounded whatever the vocabulary.
+    """
+
+    def __init__(self, find_pieces, encode_piece, limit: int = 500_000, longest: int = 40):
+        self.find_pieces, self.encode_piece, self.limit, self.longest = find_pieces, encode_piece, limit, longest
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        packed = self.pieces.get(piece)
+        if packed is None:
+            packed = self.encode_piece(piece)
+            if len(piece) <= self.longest:
+                self.pieces[piece] = packed
+        return packed
+
+    def _chunk(self, chunk: str) -> bytes:
+        body = chunk[1:] if chunk[0] == " " else chunk
+        if body.isalpha():  # letters only: the pattern takes them whole
+            return self._piece(chunk)
+        if body[-1:] in _MARKS and body[:-1].isalpha():
+            return self._piece(chunk[:-1]) + self._piece(body[-1])
+        return b"".join(map(self._piece, self.find_pieces(chunk)))
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text, little-endian unsigned 32-bit; nothing for null."""
+        parts = [chunks(t) if t else [] for t in texts]
+        known = self.chunks
+        new = set().union(*parts) - known.keys()
+        known.update([(c, self._chunk(c)) for c in new])
+        packed = [b"".join(map(known.__getitem__, p)) for p in parts]
+        if len(known) > self.limit:
+            known.clear()
+        else:
+            for c in new:
+                if len(c) > self.longest:
+                    del known[c]
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        return packed

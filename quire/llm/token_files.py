@@ -17,6 +17,7 @@ Columns other than doc_id and text are not stored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,24 +27,42 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import shuffle_width
-from .chunks import ChunkCache, chunks
+from .chunks import Encoder
 
-_HELD: dict[str, object] = {}
+_HELD: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> ChunkCache:
+def byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies show for each byte: itself where it prints, else the
+    next unused one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder for a byte-level tokenizer file, built once per Python worker.
+
+    The library's model encodes each distinct piece.  Pieces that are letters, or letters and a mark,
+    are cut here; any other chunk is cut by the library's own pre-tokenizer.
+    """
     if path not in _HELD:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        model, cut = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+        shown = byte_characters()
+
+        def pieces(chunk: str) -> list[str]:
+            return [chunk[a:b] for _, (a, b) in cut(chunk)]
 
-        def many(new: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        def encode(piece: str) -> bytes:
+            ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(shown))]
+            return struct.pack(f"<{len(ids)}I", *ids)
 
         _HELD.clear()
-        _HELD[path] = ChunkCache(many)
+        _HELD[path] = Encoder(pieces, encode)
     return _HELD[path]
 
 
@@ -51,12 +70,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> D
     """(doc_id, ids array<int>) of every row, with the end id appended; keeps the rows' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo in range(0, len(texts), 1000):
-                packed = [b"".join(cache.values_of(chunks(t))) + end if t else end for t in texts[lo : lo + 1000]]
+                packed = [p + end for p in encoder.encode_many(texts[lo : lo + 1000])]
                 sizes = np.array([len(p) // 4 for p in packed], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
