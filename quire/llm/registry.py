@@ -100,8 +100,8 @@ e AS (SELECT v, n, unnest(g) AS x FROM c),
 p AS (SELECT a.v AS a, b.v AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.v < b.v
       AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.v, b.v),
 l AS (SELECT a, b FROM p WHERE 100 * shared >= 80 * (na + nb - shared)),
-both AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-walk AS (SELECT v AS a, v AS b FROM c UNION SELECT w.a, x.b FROM walk w JOIN both x ON w.b = x.a),
+sym AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+walk AS (SELECT v AS a, v AS b FROM c UNION SELECT w.a, x.b FROM walk w JOIN sym x ON w.b = x.a),
 r AS (SELECT a AS v, min(b) AS root FROM walk GROUP BY a)
 SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(r.root, s.doc_id) AS component_id, s.doc_id = coalesce(r.root, s.doc_id) AS kept
 FROM s LEFT JOIN c ON s.g = c.g AND len(s.g) > 0 LEFT JOIN r ON r.v = c.v
