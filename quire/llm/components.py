@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_stored, stored
+from ._shared import stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,16 +17,18 @@ def components(links: DataFrame) -> DataFrame:
     written out, so lineage stays short.
     """
     links = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    roots = stored(links.select(F.col("a").alias("v")).union(links.select("b")).distinct().select("v", F.col("v").alias("root")), "roots")
+    steps = []
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         least = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")), "least")
+        steps.append(least)
         to_a, to_b = least.select("a", F.col("to").alias("ra")), least.select(F.col("a").alias("b"), F.col("to").alias("rb"))
         moved = links.join(to_a.hint("shuffle_merge"), "a").join(to_b.hint("shuffle_merge"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        next_links = stored(moved.filter("a <> b").distinct(), "links")
-        step = least.select(F.col("a").alias("root"), "to").hint("shuffle_merge")
-        next_roots = stored(roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root")), "roots")
-        for old in (links, roots, least):
-            drop_stored(old)
-        links, roots = next_links, next_roots
-    return roots
+        links = stored(moved.filter("a <> b").distinct(), "links")
+    if not steps:
+        return links.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    roots = steps[0].select(F.col("a").alias("v"), F.col("to").alias("root"))
+    for step in steps[1:]:
+        step = step.select(F.col("a").alias("root"), "to").hint("shuffle_merge")
+        roots = roots.join(step, "root", "left").select("v", F.coalesce("to", "root").alias("root"))
+    return stored(roots, "roots")

@@ -7,11 +7,12 @@ pseudo-key.  The index is a directory over the key's leading bits and buckets of
 2. ``grow_directory``: starting with one bucket, buckets with more distinct keys than fit are split by
    one more bit, doubling the directory where a bucket already uses all its bits.  Equal keys count
    once, so a text with a million copies fills no bucket.  Splits follow counts made by Spark.
-3. ``write_index``: texts go to the bucket that the directory names for them, as Parquet in the shared
-   folder, a range of keys to each file.  Copies within a batch are compared byte by byte first and
-   leave one row with their number and largest id, so a hot text sends one row a batch.
-4. ``owner_groups``: the task that owns a key range reads its rows in key order, chains texts whose
-   keys collide, and compares bytes.
+3. ``bucket_rows``: texts go to the bucket that the directory names for them.  Copies within a batch are
+   compared byte by byte first and leave one row with their number and largest id, so a hot text sends
+   one row a batch.
+4. ``owner_groups``: the task that owns a key range takes its rows in key order, chains texts whose keys
+   collide, compares bytes, and writes its part of the index to the shared folder: for each text its
+   key, place in the chain, staying id and number of copies (and its bytes, where a chain has several).
 5. Each document gets its group by its key, a small join.  Where a key has a chain of more than one
    text, and only there, the documents' texts are compared with those of the chain.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import drop_stored, shuffle_width, stored
+from ._shared import shuffle_width, stored
 
 _TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MAX_DEPTH = 20
@@ -50,39 +51,35 @@ def fingerprints(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests = [hashlib.sha256(normal_bytes(t)).digest() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([key_of(d, key_bits) for d in digests], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "key", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([key_of(d, key_bits) for d in digests], pa.int64()), pa.array(digests, pa.binary()), batch.column("print")], names=["doc_id", "key", "digest", "print"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, key bigint, digest binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(run, "doc_id bigint, key bigint, digest binary, print bigint")
 
 
 def grow_directory(keys: DataFrame, capacity: int) -> np.ndarray:
     """Directory of 2**depth entries, each the number of its bucket.
 
-    One Spark count of distinct keys at each depth; only the numbers of overfull buckets return to the
-    driver, and never more than 2**MAX_DEPTH of them.
+    One Spark count of distinct keys at each depth; a number for each entry returns to the driver, at
+    most 2**MAX_DEPTH of them.
     """
     directory, depth = np.zeros(1, np.int32), 0
-    distinct = keys.select("key").distinct()
+    distinct = stored(keys.select("key").distinct(), "distinct-keys")
     while depth < MAX_DEPTH:
-        entry = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
-        table = keys.sparkSession.createDataFrame([(directory.tolist(),)], "d array<int>") if depth else None
-        counted = distinct.groupBy(entry.alias("entry")).count()
-        if table is not None:  # entries of one bucket are counted together
-            counted = counted.crossJoin(F.broadcast(table)).select(F.col("d")[F.col("entry").cast("int")].alias("bucket"), "count")
-        else:
-            counted = counted.select(F.lit(0).alias("bucket"), "count")
-        overfull = {r.bucket for r in counted.groupBy("bucket").agg(F.sum("count").alias("n")).filter(F.col("n") > capacity).collect()}
-        if not overfull:
+        entry = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0)
+        counted = distinct.groupBy(entry.cast("int").alias("entry")).count().toArrow()
+        filled = np.bincount(directory[np.asarray(counted["entry"])], np.asarray(counted["count"]), directory.max() + 1)
+        overfull = np.flatnonzero(filled > capacity)
+        if not len(overfull):
             break
         directory, depth = np.repeat(directory, 2), depth + 1
-        for bucket in sorted(overfull):
+        for bucket in overfull:
             mine = np.flatnonzero(directory == bucket)
             directory[mine[len(mine) // 2 :]] = directory.max() + 1
     return directory
 
 
-def write_index(docs: DataFrame, directory: np.ndarray, key_bits: int = 64) -> DataFrame:
-    """The stored index: (bucket, key, norm, last_id, n), one row for each text and batch."""
+def bucket_rows(docs: DataFrame, directory: np.ndarray, key_bits: int = 64) -> DataFrame:
+    """(bucket, key, norm, last_id, n): one row for each text and batch."""
     depth = len(directory).bit_length() - 1
     held = docs.sparkSession.sparkContext.broadcast(directory)  # at most 2**MAX_DEPTH entries of 4 bytes
 
@@ -99,12 +96,10 @@ def write_index(docs: DataFrame, directory: np.ndarray, key_bits: int = 64) -> D
             columns = [pa.array(held.value[places], pa.int32()), pa.array(keys, pa.int64()), pa.array(list(seen), pa.binary()), pa.array([g[0] for g in seen.values()], pa.int64()), pa.array([g[1] for g in seen.values()], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["bucket", "key", "norm", "last_id", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "bucket int, key bigint, norm binary, last_id bigint, n bigint")
-    n = shuffle_width(docs.sparkSession)
-    return stored(rows.repartition(n, "bucket").sortWithinPartitions("bucket", "key"), "hash-index")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "bucket int, key bigint, norm binary, last_id bigint, n bigint")
 
 
-def owner_groups(index: DataFrame) -> DataFrame:
+def owner_groups(rows: DataFrame) -> DataFrame:
     """(key, chain, keep_id, group_size, norm) of each distinct text; ``norm`` only in longer chains.
 
     Buckets are dealt to tasks whole.  A task streams its rows in key order and holds the chain of one
@@ -132,7 +127,7 @@ def owner_groups(index: DataFrame) -> DataFrame:
         if key is not None:
             yield _rows(closed(key, chain))
 
-    dealt = index.repartition(shuffle_width(index.sparkSession), "bucket").sortWithinPartitions("bucket", "key")
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "key")
     return dealt.select("key", "norm", "last_id", "n").mapInArrow(run, "key bigint, chain int, keep_id bigint, group_size bigint, collides boolean, norm binary")
 
 
@@ -141,32 +136,31 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "chain", "keep_id", "group_size", "collides", "norm"])
 
 
-def exact_groups(docs: DataFrame, capacity: int = 4096, key_bits: int = 64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+def _grouped(docs: DataFrame, capacity: int, key_bits: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     prints = stored(fingerprints(docs, key_bits), "fingerprints")
     directory = grow_directory(prints, capacity)
-    index = write_index(docs, directory, key_bits)
-    groups = stored(owner_groups(index), "hash-groups")
-    drop_stored(index)
-
+    groups = stored(owner_groups(bucket_rows(docs, directory, key_bits)), "hash-index")
+    columns = ["doc_id", "print", "digest", "keep_id", "group_size"]
     sole = groups.filter(~F.col("collides")).select("key", "keep_id", "group_size")
     # one row a key on the right; AQE can split a hot key's documents
-    plain = prints.join(sole.hint("shuffle_merge"), "key").select("doc_id", "digest", "keep_id", "group_size")
-    chains = groups.filter("collides").select("key", F.col("norm").alias("chained"), "keep_id", "group_size")
-    if chains.isEmpty():
-        found = plain
-    else:
-        lower = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("norm"))
-        digest = F.unhex(F.sha2(F.col("norm").cast("binary"), 256))
-        compared = lower.withColumn("digest", digest).join(chains.hint("shuffle_merge"), F.col("norm").cast("binary") == F.col("chained"))
-        found = plain.unionByName(compared.select("doc_id", "digest", "keep_id", "group_size"))
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    found = prints.join(sole.hint("shuffle_merge"), "key").select(*columns)
+    chains = groups.filter("collides").select(F.col("norm").alias("chained"), "keep_id", "group_size")
+    if not chains.isEmpty():
+        norm = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")
+        lower = docs.select("doc_id", F.xxhash64("text").alias("print"), norm.alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+        found = found.unionByName(lower.join(chains.hint("shuffle_merge"), F.col("norm") == F.col("chained")).select(*columns))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("text_sha256", F.lower(F.hex("digest")))
+
+
+def exact_groups(docs: DataFrame, capacity: int = 4096, key_bits: int = 64) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+    return _grouped(docs, capacity, key_bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, capacity: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text; of rows with the same id and text one stays."""
-    kept = exact_groups(docs, capacity).filter("kept").select("doc_id").distinct()
-    stay = docs.join(kept.hint("shuffle_merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    stay = stay.withColumn("_unnamed", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return stay.dropDuplicates(["doc_id", "_unnamed"]).drop("_unnamed")
+    kept = _grouped(docs, capacity, 64).filter("kept").groupBy("doc_id", "digest").agg(F.min("print").alias("print")).select("doc_id", "print")
+    d, k = docs.withColumn("_print", F.xxhash64("text")).alias("d"), kept.hint("shuffle_merge").alias("k")
+    stay = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._print") == F.col("k.print")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_print"]).drop("_print")

@@ -9,7 +9,7 @@ all 120 tables with a probability of 0.0002, and of 0.85 with 0.00001.
 Documents with equal sets are one class from the start.  Classes that share a table key are candidates,
 and a link counts only if the full sets confirm it.  No bucket is expanded into all its pairs: in rounds,
 the most central members of each bucket (those that share most keys with others) are compared with the
-members that aren't connected to them yet, and the number of centres doubles until every bucket is one
+members that aren't connected to them yet, and the number of centres grows fourfold until every bucket is one
 component or every pair of its members in different components has been compared.  Skipping pairs that
 are connected already changes no component.  There is no cap on buckets or candidates.
 
@@ -168,8 +168,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, parts: int =
         pairs = stored(found, "pairs")
         if not pairs.isEmpty():
             confirmed = stored(_confirmed(pairs, sets, percent), "confirmed")
-            links = confirmed if links is None else links.union(confirmed)
-            labels = components(links)
+            if not confirmed.isEmpty():
+                links = confirmed if links is None else links.union(confirmed)
+                labels = components(links)
         if best_only:  # the same centres again, for members that their best centre didn't connect
             best_only = False
             continue
@@ -180,7 +181,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, parts: int =
         if left.isEmpty():
             break
         ranked = stored(ranked.join(left.hint("shuffle_merge"), "key", "left_semi"), "ranked")
-        low, high = high, high + max(1, high - 1)
+        low, high = high, 4 * high
 
     roots = labels if labels is not None else members.limit(0).select(F.col("v"), F.col("v").alias("root"))
     named = members.join(roots.hint("shuffle_merge"), "v", "left").withColumn("root", F.coalesce("root", "v"))
