@@ -1 +1 @@
-"""Part of quire; see the package README."""
+"""Compositions of operators over the given tables, and the SQL that gives the same rows."""
