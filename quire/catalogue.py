@@ -1,6 +1,5 @@
 """Names of all queries of the library, and the DuckDB SQL that gives the same rows."""
 
-from __future__ import annotations
+from .plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]
