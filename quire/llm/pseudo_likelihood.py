@@ -139,18 +139,28 @@ class Window:
             total = total + self.tables[k][context[k]]
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, hidden: np.ndarray) -> np.ndarray:
-        logits = hidden @ self.out + self.bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    def _logits(self, hidden: np.ndarray) -> np.ndarray:
+        """Logits that exp() can take: hidden values are at most 1, so weights bound them; only where
+        they might overflow is each row's maximum taken off."""
+        logits = hidden @ self.out
+        logits += self.bias
+        if np.abs(self.out).sum(axis=0).max() + np.abs(self.bias).max() > 60:
+            logits -= logits.max(axis=1, keepdims=True)
+        return logits
+
+    def log_probabilities(self, hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+        logits = self._logits(hidden)
+        chosen = logits[np.arange(len(target)), target]
+        return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
 
     def train(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
         """One Adagrad step on a batch."""
         n, rows = len(target), np.arange(len(target))
         hidden = self.hidden_of(context)
-        error = np.exp(self.log_probabilities(hidden))
-        error[rows, target] -= 1
-        error /= n
+        error = self._logits(hidden)
+        np.exp(error, out=error)
+        error /= (error.sum(axis=1) * n)[:, None]
+        error[rows, target] -= np.float32(1 / n)
         back = (error @ self.out.T) * (1 - hidden * hidden)
         tables = np.empty_like(self.tables)
         for k in range(len(OFFSETS)):
@@ -223,9 +233,9 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, model: Window) -> DataFra
             for entries, ends in _batches(batch.column("text").to_pylist(), lex):
                 target = lex.class_of[entries].astype(np.int64)
                 context, logs = contexts(target, ends, classes), np.zeros(len(target) + 1)
-                for lo in range(0, len(target), 4096):
-                    part = target[lo : lo + 4096]
-                    logs[lo + 1 : lo + 1 + len(part)] = net.log_probabilities(net.hidden_of(context[:, lo : lo + 4096]))[np.arange(len(part)), part] + lex.log_share[entries[lo : lo + 4096]]
+                for lo in range(0, len(target), 1024):
+                    part = target[lo : lo + 1024]
+                    logs[lo + 1 : lo + 1 + len(part)] = net.log_probabilities(net.hidden_of(context[:, lo : lo + 1024]), part) + lex.log_share[entries[lo : lo + 1024]]
                 upto = np.cumsum(logs)
                 first = np.concatenate([[0], ends[:-1]])
                 sizes.append(ends - first)
