@@ -15,6 +15,9 @@ class WordHashes:
     def __init__(self, limit: int = 1_000_000):
         self.limit, self.known = limit, {}
 
+    def digest(self, word: str) -> int:
+        return xxhash.xxh3_64_intdigest(word.encode())
+
     def of(self, words: list[str]) -> np.ndarray:
         known = self.known
         new = set(words) - known.keys()
@@ -22,8 +25,7 @@ class WordHashes:
             if len(known) + len(new) > self.limit:
                 known.clear()
                 new = set(words)
-            digest = xxhash.xxh3_64_intdigest
-            known.update([(w, digest(w.encode())) for w in new])
+            known.update([(w, self.digest(w)) for w in new])
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

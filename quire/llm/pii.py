@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stored
+from .hashing import WordHashes, mix, signed
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -96,9 +96,23 @@ def _normal(word: str) -> str:
     return re.sub("[0-9]", "0", word.lower())
 
 
+class _NormalHashes(WordHashes):
+    """Hashes of words in normal form, remembered by the word as written."""
+
+    def digest(self, word: str) -> int:
+        return super().digest(_normal(word))
+
+
+_WORDS = _NormalHashes(600_000)
+
+
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """The context hash of each two neighbouring words."""
+    return signed(mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]))
+
+
 def _context(words: list[str]) -> int:
-    digest = xxhash.xxh3_64_intdigest("\n".join(map(_normal, words)).encode())
-    return digest - (1 << 64) * (digest >> 63)
+    return int(_pairs(_WORDS.of(words))[0])
 
 
 def _before(text: str, start: int) -> int | None:
@@ -152,26 +166,19 @@ def occurrences(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(contexts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, total, known = shared.value, np.zeros(len(shared.value), np.int64), {}
+        wanted, total = shared.value, np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for line in (text or "").split("\n"):
-                    words = _WORD.findall(line)
-                    if len(words) < 3:
-                        continue
-                    hashes = []
-                    for pair in zip(words, words[1:-1]):
-                        h = known.get(pair)
-                        if h is None:
-                            h = _context(list(pair))
-                            at = int(np.searchsorted(wanted, h))
-                            h = known[pair] = at if at < len(wanted) and wanted[at] == h else -1
-                            if len(known) > 400_000:
-                                known.clear()
-                        if h >= 0:
-                            hashes.append(h)
-                    if hashes:
-                        np.add.at(total, hashes, 1)
+            texts = batch.column("text").to_pylist()
+            for lo in range(0, len(texts), 100):
+                lines = [w for t in texts[lo : lo + 100] if t for line in t.split("\n") if len(w := _WORD.findall(line)) > 2]
+                if not lines:
+                    continue
+                hashes = _WORDS.of([w for words in lines for w in words])
+                line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+                pairs = _pairs(hashes)[:-1][line[:-2] == line[2:]]  # with a word after them on the line
+                at = np.searchsorted(wanted, pairs)
+                at[at == len(wanted)] = 0
+                total += np.bincount(at[wanted[at] == pairs], minlength=len(wanted))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(wanted[used]), pa.array(total[used])], names=["context", "total"])
 
