@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _MIX1, _MIX2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -35,6 +39,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
+_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_GAP_BYTE = re.compile(rb"[\x20\x09-\x0d]")
+_FOLDED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
+_OF_BYTE = mix(_STEP * (_FOLDED + 1).astype(np.uint64))
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, _STEP | np.uint64(1), np.uint64))
+
+
+def _bytes_hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word in ``data``: a polynomial in its bytes, A-Z lower-cased, and mixed."""
+    within = ~_GAP[data]
+    edges = np.flatnonzero(np.diff(within, prepend=False, append=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    sums = np.add.reduceat(_OF_BYTE[data[within]] * _powers(sizes.max())[place], first)
+    return starts, mix(sums + sizes.astype(np.uint64) * _STEP)
+
+
+def hashed_words(column: pa.Array, slice_bytes: int = 1 << 21) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a column of texts as hashes, some texts at a time.
+
+    Yields the first text's number, the texts' UTF-8 joined by spaces, where each of them starts in it
+    (and one more), where each word starts, and its hash.  Texts are never cut between two slices; a
+    text longer than a slice is hashed a piece at a time.
+    """
+    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    slice_of = (np.cumsum(sizes) - sizes) // slice_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(texts)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        joined = b" ".join(texts[lo:hi])
+        bounds = np.concatenate([[0], np.cumsum(sizes[lo:hi])])
+        starts, hashes, at = [], [], 0
+        while at < len(joined):
+            gap = _GAP_BYTE.search(joined, at + slice_bytes)
+            end = gap.start() if gap else len(joined)
+            found, values = _bytes_hashed(np.frombuffer(joined, np.uint8, end - at, at))
+            starts.append(found + at)
+            hashes.append(values)
+            at = end
+        whole = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        yield lo, joined, bounds, whole(starts, np.int64), whole(hashes, np.uint64)
+
+
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of all windows of ``size`` words; a shorter sequence is one window."""
     n = len(hashes)

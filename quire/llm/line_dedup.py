@@ -7,11 +7,19 @@ when an earlier line of the corpus, in the order of (doc_id, line number), has a
 Classes are joined exactly: words are put in one global order, rarest first, by counts over all lines
 (hashed to ``slots`` counters; any fixed order is exact, a rare-first one is fast).  Two sets as similar as
 that share a word of their prefixes, n - ceil(percent * n) + 1 words of n.  Prefix words that occur once
-in the corpus can't be shared and aren't emitted.  Pairs that meet on a prefix word must pass the length
-filter and the positional filter (the words after the match can still reach the overlap) and are then
-verified on the full sets, which only candidate classes fetch.
+in the corpus can't be shared and aren't emitted.  Pairs that meet on a prefix word must pass
 
-Nothing is capped: a frequent prefix word joins like any other, and adaptive execution splits its rows.
+* the length filter,
+* the positional filter: the words after the match can still reach the overlap,
+* a parity filter: each set carries the parity of its words in 128 bits; two sets differ in at least as
+  many words as their parities in bits, so too many bits rule a pair out,
+
+and the few that remain are verified on the full sets.  Those are read from the texts in place: a filter of
+``filter_bits`` bits, whatever the corpus, says which classes to send; one that says yes too often costs
+bytes, not results.
+
+Nothing is capped: a prefix word in more than ``hot`` lines is salted, its rows dealt to several keys on
+one side of the join and copied to each of them on the other.
 
 Edge cases: null or empty texts have no lines.  Lines without a word are neither compared nor removed.
 Null ids come first in the order.  Rows with the same id are one place each: equal places count as the
@@ -22,53 +30,57 @@ by ``without_repeated_lines``.  Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii, stored, words_of
-from .hashing import WordHashes, signed
-
-_WORDS = WordHashes()
-
-
-def _line_sets(texts: list[str | None], size: int = 100) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, line number, sorted distinct word hashes) of every line that has a word."""
-    for lo in range(0, len(texts), size):
-        where, split = [], []
-        for row, text in enumerate(texts[lo : lo + size], lo):
-            for number, line in enumerate(lower_ascii(text).split("\n") if text else ()):
-                if words := words_of(line):
-                    where.append((row, number))
-                    split.append(words)
-        hashes, at = _WORDS.of([w for words in split for w in words]), 0
-        for (row, number), words in zip(where, split, strict=True):
-            yield row, number, np.unique(hashes[at : at + len(words)])
-            at += len(words)
-
-
-def _class(s: np.ndarray) -> int:
-    digest = xxhash.xxh3_64_intdigest(s.tobytes())
-    return digest - (1 << 64) * (digest >> 63)
+from ._shared import shuffle_width, stored
+from .hashing import hashed_words, mix, signed
+
+_SALT = np.uint64(0x5851F42D4C957F2D)
+
+class _Lines(NamedTuple):
+    """The lines with a word of some texts: where they stand, and their sets one after the other."""
+
+    row: np.ndarray
+    number: np.ndarray
+    n: np.ndarray  # distinct words
+    first: np.ndarray  # where a line's set starts in ``words``
+    words: np.ndarray  # distinct word hashes of each line, ascending
+    name: np.ndarray  # of the class: the same for equal sets
+
+
+def _line_sets(texts: pa.Array) -> Iterator[_Lines]:
+    for lo, joined, bounds, starts, hashes in hashed_words(texts):
+        if not len(starts):
+            continue
+        breaks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 10)
+        row = np.searchsorted(bounds, starts, "right") - 1
+        number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, bounds)[row]
+        opens = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(number) != 0)])
+        line = np.cumsum(opens) - 1
+        order = np.lexsort((hashes, line))
+        line, words = line[order], hashes[order]
+        distinct = np.concatenate([[True], (np.diff(line) != 0) | (words[1:] != words[:-1])])
+        line, words = line[distinct], words[distinct]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(line) != 0]))
+        n = np.diff(np.append(first, len(line)))
+        name = mix(np.add.reduceat(mix(words ^ _SALT), first) + n.astype(np.uint64))
+        yield _Lines(row[opens] + lo, number[opens], n, first, words, signed(name))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, v, n): the class and set size of every line with a word."""
+    """(doc_id, line_no, v): the class of every line with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, numbers, v, n = [], [], [], []
-            for row, number, s in _line_sets(batch.column("text").to_pylist()):
-                rows.append(row)
-                numbers.append(number)
-                v.append(_class(s))
-                n.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(v, pa.int64()), pa.array(n, pa.int32())], names=["doc_id", "line_no", "v", "n"])
+            for lines in _line_sets(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(lines.name)], names=["doc_id", "line_no", "v"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, line_no int, v bigint, n int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, line_no int, v bigint")
 
 
 def word_frequencies(docs: DataFrame, slots: int) -> np.ndarray:
@@ -77,9 +89,8 @@ def word_frequencies(docs: DataFrame, slots: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for batch in batches:
-            held = [s for _, _, s in _line_sets(batch.column("text").to_pylist())]
-            if held:
-                total += np.bincount((np.concatenate(held) % np.uint64(slots)).astype(np.int64), minlength=slots)
+            for lines in _line_sets(batch.column("text")):
+                total += np.bincount((lines.words % np.uint64(slots)).astype(np.int64), minlength=slots)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
 
@@ -93,60 +104,96 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(docs: DataFrame, frequencies: np.ndarray, percent: int) -> DataFrame:
-    """(word, v, n, place) of the shareable prefix words of each class."""
-    slots, shared = len(frequencies), docs.sparkSession.sparkContext.broadcast(frequencies)
+def _prefixes(docs: DataFrame, frequencies: np.ndarray, percent: int, hot: int) -> DataFrame:
+    """(key, v, shape, p0, p1) of the shareable prefix words of each class, dealt to partitions by key.
+
+    ``shape`` packs the set's size, the word's place in the order, and the sides of the join that the row
+    is for: 3, or 1 and 2 for salted words.  p0 and p1 are the parities.
+    """
+    slots, shared = np.uint64(len(frequencies)), docs.sparkSession.sparkContext.broadcast(frequencies)
+
+    def emit(lines: _Lines, fresh: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        line = np.repeat(np.arange(len(lines.n)), lines.n)
+        bit, high = np.uint64(1) << (lines.words >> np.uint64(58)), (lines.words >> np.uint64(57)) & np.uint64(1) == 1
+        parity = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), lines.first) for side in (~high, high)]
+        count = counts[(lines.words % slots).astype(np.int64)]
+        order = np.lexsort((lines.words, count, line))
+        place = np.arange(len(line)) - np.repeat(lines.first, lines.n)
+        taken = (place < prefix_length(lines.n, percent)[line]) & (count[order] > 1) & fresh[line]
+        words, count, line, place = lines.words[order][taken], count[order][taken], line[taken], place[taken]
+        salts = (count + hot - 1) // hot
+        side = np.where(salts > 1, 1, 3)
+        salt = np.where(salts > 1, lines.name[line].view(np.uint64) % salts.astype(np.uint64), np.uint64(0))
+        if (salts > 1).any():
+            copies = np.where(salts > 1, salts, 0)
+            again = np.repeat(np.arange(len(words)), copies)
+            salt = np.concatenate([salt, (np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)).astype(np.uint64)])
+            words, line, place = (np.concatenate([x, x[again]]) for x in (words, line, place))
+            side = np.concatenate([side, np.full(len(again), 2)])
+        shape = lines.n[line] << 33 | place << 2 | side
+        columns = [signed(mix(words + salt * _SALT)), lines.name[line], shape.astype(np.int64), *(signed(p)[line] for p in parity)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "v", "shape", "p0", "p1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        seen: set[int] = set()  # saves rows only; the same row may come from several tasks
         for batch in batches:
-            words, v, n, places, seen = [], [], [], [], set()
-            for _, _, s in _line_sets(batch.column("text").to_pylist()):
-                if (name := _class(s)) in seen:
-                    continue
-                seen.add(name)
-                count = counts[(s % np.uint64(slots)).astype(np.int64)]
-                first = np.lexsort((s, count))[: prefix_length(len(s), percent)]
-                at = np.flatnonzero(count[first] > 1)
-                words.append(s[first[at]])
-                places.append(at)
-                v.append(np.full(len(at), name, np.int64))
-                n.append(np.full(len(at), len(s), np.int32))
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(words))), pa.array(np.concatenate(v)), pa.array(np.concatenate(n)), pa.array(np.concatenate(places).astype(np.int32))], names=["word", "v", "n", "place"])
-
-    rows = docs.select("text").mapInArrow(run, "word bigint, v bigint, n int, place int")
-    return rows.groupBy("word", "v").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+            for lines in _line_sets(batch.column("text")):
+                fresh = np.zeros(len(lines.name), bool)
+                names, at = np.unique(lines.name, return_index=True)
+                fresh[at] = [x not in seen for x in names.tolist()]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.update(names.tolist())
+                yield emit(lines, fresh, shared.value)
+
+    rows = docs.select("text").mapInArrow(run, "key bigint, v bigint, shape bigint, p0 bigint, p1 bigint")
+    # one shuffle serves both sides of the join; rows of a class that several tasks sent become one
+    return rows.repartition(shuffle_width(docs.sparkSession), "key").dropDuplicates(["key", "v", "shape"])
 
 
 def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
-    a = prefixes.select("word", F.col("v").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    b = prefixes.select("word", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    def side(letter: str) -> DataFrame:
+        shape = F.col("shape")
+        size, place = F.shiftright(shape, 33), F.shiftright(shape, 2).bitwiseAND((1 << 31) - 1)
+        return prefixes.select("key", F.col("v").alias(letter), size.alias("n" + letter), place.alias("p" + letter), shape.bitwiseAND(3).alias("s" + letter), F.col("p0").alias(letter + "0"), F.col("p1").alias(letter + "1"))
+
+    # over both rows at once: a filter of one side would be pushed under the shuffle, which then would differ
+    sides = F.col("sa").bitwiseAND(1) + F.col("sb").bitwiseAND(2) == 3
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     lengths = 100 * F.col("na") >= percent * F.col("nb")
     overlap = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
-    reach = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    met = a.hint("shuffle_merge").join(b, "word").filter(ordered & lengths & (reach + F.least("pa", "pb") >= overlap))
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    met = side("a").hint("shuffle_merge").join(side("b"), "key")
+    met = met.filter(sides & ordered & lengths & (reach >= overlap) & (differ <= F.col("na") + F.col("nb") - 2 * overlap))
     return met.select("a", "b").distinct()
 
 
-def _sets_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(v, set) of the classes in ``places`` (v, doc_id, line_no)."""
+def _class_filter(classes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each class of ``classes`` (v) in a table of fixed size; Spark sets the bits of a word."""
+    at = F.pmod(F.col("v"), F.lit(bits))
+    words = classes.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(v, {bits}) & 63 as int))")).alias("set")).toArrow()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[np.asarray(words["word"])] = np.asarray(words["set"]).view(np.uint64)
+    return table
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
+    """(v, set) of the classes in ``classes`` (v), and of those that its filter can't tell from them."""
+    held = docs.sparkSession.sparkContext.broadcast(_class_filter(classes, bits))  # bits / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = [set(x) for x in batch.column("wanted").to_pylist()]
-            v, sets = [], []
-            for row, _, s in _line_sets(batch.column("text").to_pylist()):
-                if (name := _class(s)) in wanted[row]:
-                    v.append(name)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(sets, pa.binary())], names=["v", "set"])
+            for lines in _line_sets(batch.column("text")):
+                at = lines.name % bits
+                chosen = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                names, once = np.unique(lines.name, return_index=True)
+                once = once[chosen[once]]
+                sets = [lines.words[a : a + k].tobytes() for a, k in zip(lines.first[once], lines.n[once])]
+                yield pa.RecordBatch.from_arrays([pa.array(lines.name[once]), pa.array(sets, pa.binary())], names=["v", "set"])
 
-    held = places.groupBy("doc_id").agg(F.collect_set("v").alias("wanted"))  # no more than a document's lines
-    d, h = docs.select("doc_id", "text").alias("d"), held.hint("shuffle_merge").alias("h")
-    found = d.join(h, F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))).select("d.text", "h.wanted")
-    return found.mapInArrow(run, "v bigint, set binary").dropDuplicates(["v"])
+    found = docs.select("text").mapInArrow(run, "v bigint, set binary")
+    return found.groupBy("v").agg(F.first("set").alias("set"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,17 +215,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y.hint("shuffle_merge"), "b").join(x.hint("shuffle_merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80, slots: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, percent: int = 80, slots: int = 1 << 22, filter_bits: int = 1 << 26, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(lines, links): doc_id, line_no, v, removed of every line with a word; and the links (a, b)
     between classes of different sets."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     lines = stored(line_classes(docs), "lines")
-    prefixes = stored(_prefixes(docs, word_frequencies(docs, slots), percent), "prefixes")
-    pairs = stored(_candidates(prefixes, percent), "line-pairs")
-    first = stored(lines.groupBy("v").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "first-lines")
+    pairs = stored(_candidates(_prefixes(docs, word_frequencies(docs, slots), percent, hot), percent), "line-pairs")
     ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    places = first.join(ends.hint("shuffle_merge"), "v", "left_semi").select("v", "first.*")
-    links = stored(_verified(pairs, stored(_sets_of(docs, places), "line-sets"), percent), "line-links")
+    links = stored(_verified(pairs, stored(_sets_of(docs, ends, filter_bits), "line-sets"), percent), "line-links")
+    first = lines.groupBy("v").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     both = links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a"))
     other = first.select(F.col("v").alias("w"), F.col("first").alias("other"))
     earlier = both.join(other.hint("shuffle_merge"), "w").groupBy("v").agg(F.min("other").alias("other"))

@@ -40,6 +40,9 @@ def test_lines_and_texts(spark):
     assert {(r.doc_id, r.line_no): r.removed for r in lines.collect()} == want
     sets = {s for _, t in rows for _, s in lines_of(t)}
     assert links.count() == sum(1 for a in sets for b in sets if a != b and 100 * len(a & b) >= 80 * len(a | b)) / 2
+    salted, again = repeated_lines(docs, hot=3, filter_bits=128)  # salted words and a full filter change nothing
+    assert {(r.doc_id, r.line_no): r.removed for r in salted.collect()} == want
+    assert sorted(again.collect()) == sorted(links.collect())
     texts = dict(rows)
     for r in without_repeated_lines(docs).collect():
         cut = [i for i, _ in lines_of(texts[r.doc_id]) if want[r.doc_id, i]]
