@@ -30,20 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import drop_stored, lower_ascii, shuffle_width, stored, words_of
+from ._shared import drop_stored, stored
 from .components import components
-from .hashing import WordHashes, mix, shingles, signed
+from .hashing import hashed_words, mix, shingles, signed
 
-_WORDS = WordHashes()
 
-
-def _sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
-    for lo in range(0, len(texts), 200):
-        split = [words_of(lower_ascii(t)) if t else [] for t in texts[lo : lo + 200]]
-        hashes, at = _WORDS.of([w for words in split for w in words]), 0
-        for words in split:
-            yield shingles(hashes[at : at + len(words)], size)
-            at += len(words)
+def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    for _, _, bounds, starts, hashes in hashed_words(texts):
+        at = np.searchsorted(starts, bounds)
+        for a, b in zip(at, at[1:]):
+            yield shingles(hashes[a:b], size)
 
 
 def _multipliers(n: int, seed: int) -> np.ndarray:
@@ -68,7 +64,7 @@ def document_sets(docs: DataFrame, size: int, parts: int, width: int, seed: int)
         multipliers = _multipliers(parts * width, seed)
         for batch in batches:
             v, n, keys = [], [], []
-            for s in _sets(batch.column("text").to_pylist(), size):
+            for s in _sets(batch.column("text"), size):
                 n.append(len(s))
                 if not len(s):
                     v.append(None)
@@ -107,9 +103,8 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 500):
-                sets = list(_sets(texts[lo : lo + 500], size))
+            for lo in range(0, batch.num_rows, 500):
+                sets = list(_sets(batch.column("text").slice(lo, 500), size))
                 v = [xxhash.xxh3_128_intdigest(s.tobytes()) >> 64 for s in sets]
                 v = pa.array([x - (1 << 64) * (x >> 63) for x in v], pa.int64())
                 yield pa.RecordBatch.from_arrays([v, batch.column("v").slice(lo, 500), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "want", "set"])
