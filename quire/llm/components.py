@@ -11,9 +11,9 @@ from ._shared import stored
 def components(links: DataFrame) -> DataFrame:
     """(v, root) for each end of the links (a, b); ``root`` is the least end reachable.
 
-    Each round maps every vertex to its least neighbour and contracts the links accordingly.  A vertex
-    with links either moves to a smaller one or takes in all its neighbours, so the number of vertices
-    at least halves and the rounds are few.  All rounds are joins on vertex ids; the mapping so far is
+    Each round maps every vertex to its least neighbour and contracts the links accordingly.  Ends
+    here are hashes, in no order along a path, so a constant share of vertices goes each round; a path whose
+    ids ascend from end to end would lose one vertex a round.  All rounds are joins on vertex ids; the mapping so far is
     written out, so lineage stays short.
     """
     links = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
