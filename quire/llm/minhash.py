@@ -9,10 +9,16 @@ all 120 tables with a probability of 0.0002, and of 0.85 with 0.00001.
 Documents with equal sets are one class from the start.  Classes that share a table key are candidates,
 and a link counts only if the full sets confirm it.  No bucket is expanded into all its pairs: in rounds,
 the most central members of each bucket (those that share most keys with others) are compared with the
-members that aren't connected to them yet, and the number of centres grows fourfold until every bucket is one
+members that aren't connected to them yet, and the number of centres grows sixteenfold until every bucket is one
 component or every pair of its members in different components has been compared.  Skipping pairs that
 are connected already changes no component.  There is no cap on buckets or candidates.
 
+From the second centre on, the join of a bucket's members also looks at parities: each set carries, for each of
+``PARITIES`` groups of shingles, whether it has an odd number of them.  Two sets differ in at least as many
+shingles as groups, so the groups in which they differ rule out, without error, most pairs below the limit that
+meet in a bucket because they share a long passage.  Sets of several thousand shingles fill all groups
+and are verified in full instead.
+
 Edge cases: a text without words (or null) has no set, links with nothing and stays.  Fewer words than
 ``size`` make one shingle.  Rows with the same id and set belong to one class, and all rows with a
 component's least id are kept; null ids never name a component unless it has no other.  Extra columns
@@ -22,7 +28,9 @@ are ignored.  Classes are named by 64 bits of the set's 128-bit digest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +42,10 @@ from ._shared import drop_stored, stored
 from .components import components
 from .hashing import hashed_words, mix, shingles, signed
 
+#: Groups of shingles whose parities a set carries, 64 in a column.
+PARITIES = 1024
+_PARITY_COLUMNS = [f"p{i}" for i in range(PARITIES // 64)]
+
 
 def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     for _, _, bounds, starts, hashes in hashed_words(texts):
@@ -98,8 +110,13 @@ def _table_rows(classes: DataFrame, parts: int) -> DataFrame:
     return classes.select("keys", "v", "n").mapInArrow(run, "key bigint, v bigint, n int")
 
 
+def _parities(values: np.ndarray) -> list[int]:
+    odd = np.bincount((mix(values) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _full_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """(v, set): the set of each class in ``chosen`` (doc_id, print, v), its hashes packed in order."""
+    """(v, set, parities): the set of each class in ``chosen`` (doc_id, print, v), its hashes packed in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,11 +124,11 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
                 sets = list(_sets(batch.column("text").slice(lo, 500), size))
                 v = [xxhash.xxh3_128_intdigest(s.tobytes()) >> 64 for s in sets]
                 v = pa.array([x - (1 << 64) * (x >> 63) for x in v], pa.int64())
-                yield pa.RecordBatch.from_arrays([v, batch.column("v").slice(lo, 500), pa.array([s.tobytes() for s in sets], pa.binary())], names=["v", "want", "set"])
+                yield pa.RecordBatch.from_arrays([v, batch.column("v").slice(lo, 500), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_parities(s) for s in sets], pa.list_(pa.int64()))], names=["v", "want", "set", "parities"])
 
     d, c = _printed(docs).alias("d"), chosen.alias("c")
     named = d.join(c.hint("shuffle_merge"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.print") == F.col("c.print"))).select("c.v", "d.text")
-    return named.mapInArrow(run, "v bigint, want bigint, set binary").filter("v = want").drop("want").dropDuplicates(["v"])
+    return named.mapInArrow(run, "v bigint, want bigint, set binary, parities array<bigint>").filter("v = want").drop("want").dropDuplicates(["v"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -156,27 +173,26 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, parts: int =
     chosen = classes.select("v", "at.doc_id", "at.print").join(central.select("v").hint("shuffle_merge"), "v", "left_semi")
     sets = stored(_full_sets(docs, chosen, size), "full-sets")
 
-    labels, links = None, None
-    low, high, best_only = 1, 2, True
+    labels, low, high, best_only = None, 1, 2, True
     while True:
-        found = _round(ranked, labels, low, high, best_only, percent)
-        pairs = stored(found, "pairs")
+        pairs = stored(_round(ranked, labels, low, high, best_only, percent), "pairs")
         if not pairs.isEmpty():
             confirmed = stored(_confirmed(pairs, sets, percent), "confirmed")
-            if not confirmed.isEmpty():
-                links = confirmed if links is None else links.union(confirmed)
-                labels = components(links)
+            labels = _merged(labels, confirmed)
         if best_only:  # the same centres again, for members that their best centre didn't connect
             best_only = False
             continue
         open_buckets = ranked if labels is None else _labelled(ranked, labels)
         label = F.col("v") if labels is None else F.col("label")
         left = open_buckets.groupBy("key").agg(F.min(label).alias("l"), F.max(label).alias("h"), F.max("rank").alias("r")).filter((F.col("l") != F.col("h")) & (F.col("r") > high))
-        left = stored(left.select("key"), "open")
-        if left.isEmpty():
+        ranked = ranked.join(left.select("key").hint("shuffle_merge"), "key", "left_semi")
+        if low == 1:
+            parities = sets.select("v", *[F.col("parities")[i].alias(c) for i, c in enumerate(_PARITY_COLUMNS)])
+            ranked = ranked.join(parities.hint("shuffle_merge"), "v")
+        ranked = stored(ranked, "ranked")
+        if ranked.isEmpty():
             break
-        ranked = stored(ranked.join(left.hint("shuffle_merge"), "key", "left_semi"), "ranked")
-        low, high = high, 4 * high
+        low, high = high, 16 * high
 
     roots = labels if labels is not None else members.limit(0).select(F.col("v"), F.col("v").alias("root"))
     named = members.join(roots.hint("shuffle_merge"), "v", "left").withColumn("root", F.coalesce("root", "v"))
@@ -186,6 +202,20 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, parts: int =
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components (v, root) of ``labels`` joined by further links between their members."""
+    if links.isEmpty():
+        return labels
+    if labels is None:
+        return components(links)
+    root = lambda end: labels.select(F.col("v").alias(end), F.col("root").alias("r" + end)).hint("shuffle_merge")
+    between = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    joined = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    moved = labels.join(joined.select(F.col("v").alias("root"), F.col("root").alias("to")).hint("shuffle_merge"), "root", "left")
+    new = joined.join(labels.select("v").hint("shuffle_merge"), "v", "left_anti")
+    return stored(moved.select("v", F.coalesce("to", "root").alias("root")).union(new.select("v", "root")), "labels")
+
+
 def _labelled(ranked: DataFrame, labels: DataFrame) -> DataFrame:
     return ranked.join(labels.hint("shuffle_merge"), "v", "left").withColumn("label", F.coalesce("root", "v")).drop("root")
 
@@ -194,9 +224,13 @@ def _round(ranked: DataFrame, labels: DataFrame | None, low: int, high: int, bes
     """Pairs (a, b) of a centre, of rank low to high - 1 in a bucket, and a later member of it in another
     component whose size allows the similarity; each pair once, or each member's most frequent only."""
     rows = ranked.withColumn("label", F.col("v")) if labels is None else _labelled(ranked, labels)
-    centres = rows.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la"))
+    held = [c for c in _PARITY_COLUMNS if c in rows.columns]
+    centres = rows.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la"), *[F.col(c).alias("c" + c) for c in held])
     met = centres.hint("shuffle_merge").join(rows, "key").filter((F.col("rank") > F.col("ra")) & (F.col("la") != F.col("label")))
     met = met.filter(100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
+    if held:
+        differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col("c" + c))) for c in held])
+        met = met.filter((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("na")))
     pairs = met.groupBy(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).agg(F.count("*").alias("keys"))
     if not best_only:
         return pairs.select("a", "b")
