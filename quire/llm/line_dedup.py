@@ -11,6 +11,8 @@ in the corpus can't be shared and aren't emitted.  Pairs that meet on a prefix w
 
 * the length filter,
 * the positional filter: the words after the match can still reach the overlap,
+* a test for the first meeting: each row carries the rarest ``EARLIER`` prefix words that stand before its own, and a
+  pair that shares one of them has met there already,
 * a parity filter: each set carries the parity of its words in 128 bits; two sets differ in at least as
   many words as their parities in bits, so too many bits rule a pair out,
 
@@ -42,6 +44,10 @@ from .hashing import hashed_words, mix, signed
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
+#: Prefix words that a row carries at most; pairs of longer prefixes may be met, and verified, more than once.
+EARLIER = 16
+
+
 class _Lines(NamedTuple):
     """The lines with a word of some texts: where they stand, and their sets one after the other."""
 
@@ -105,10 +111,11 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(docs: DataFrame, frequencies: np.ndarray, percent: int, hot: int) -> DataFrame:
-    """(key, v, shape, p0, p1) of the shareable prefix words of each class, dealt to partitions by key.
+    """(key, v, shape, p0, p1, earlier) of the shareable prefix words of each class, dealt to partitions by key.
 
     ``shape`` packs the set's size, the word's place in the order, and the sides of the join that the row
-    is for: 3, or 1 and 2 for salted words.  p0 and p1 are the parities.
+    is for: 3, or 1 and 2 for salted words.  p0 and p1 are the parities; ``earlier`` has prefix words before
+    the row's own.
     """
     slots, shared = np.uint64(len(frequencies)), docs.sparkSession.sparkContext.broadcast(frequencies)
 
@@ -121,6 +128,9 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, percent: int, hot: int)
         place = np.arange(len(line)) - np.repeat(lines.first, lines.n)
         taken = (place < prefix_length(lines.n, percent)[line]) & (count[order] > 1) & fresh[line]
         words, count, line, place = lines.words[order][taken], count[order][taken], line[taken], place[taken]
+        all_words, at = words, np.arange(len(words))
+        opens = np.flatnonzero(np.diff(line, prepend=-1))
+        start = np.repeat(opens, np.diff(np.append(opens, len(line))))
         salts = (count + hot - 1) // hot
         side = np.where(salts > 1, 1, 3)
         salt = np.where(salts > 1, lines.name[line].view(np.uint64) % salts.astype(np.uint64), np.uint64(0))
@@ -128,11 +138,15 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, percent: int, hot: int)
             copies = np.where(salts > 1, salts, 0)
             again = np.repeat(np.arange(len(words)), copies)
             salt = np.concatenate([salt, (np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)).astype(np.uint64)])
-            words, line, place = (np.concatenate([x, x[again]]) for x in (words, line, place))
+            words, line, place, at, start = (np.concatenate([x, x[again]]) for x in (words, line, place, at, start))
             side = np.concatenate([side, np.full(len(again), 2)])
         shape = lines.n[line] << 33 | place << 2 | side
         columns = [signed(mix(words + salt * _SALT)), lines.name[line], shape.astype(np.int64), *(signed(p)[line] for p in parity)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "v", "shape", "p0", "p1"])
+        held = np.minimum(at - start, EARLIER)
+        ends = np.cumsum(held)
+        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - held, held)
+        earlier = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(signed(all_words[np.repeat(start, held) + inside])))
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), earlier], names=["key", "v", "shape", "p0", "p1", "earlier"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # saves rows only; the same row may come from several tasks
@@ -146,7 +160,7 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray, percent: int, hot: int)
                 seen.update(names.tolist())
                 yield emit(lines, fresh, shared.value)
 
-    rows = docs.select("text").mapInArrow(run, "key bigint, v bigint, shape bigint, p0 bigint, p1 bigint")
+    rows = docs.select("text").mapInArrow(run, "key bigint, v bigint, shape bigint, p0 bigint, p1 bigint, earlier array<bigint>")
     # one shuffle serves both sides of the join; rows of a class that several tasks sent become one
     return rows.repartition(shuffle_width(docs.sparkSession), "key").dropDuplicates(["key", "v", "shape"])
 
@@ -155,7 +169,7 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
     def side(letter: str) -> DataFrame:
         shape = F.col("shape")
         size, place = F.shiftright(shape, 33), F.shiftright(shape, 2).bitwiseAND((1 << 31) - 1)
-        return prefixes.select("key", F.col("v").alias(letter), size.alias("n" + letter), place.alias("p" + letter), shape.bitwiseAND(3).alias("s" + letter), F.col("p0").alias(letter + "0"), F.col("p1").alias(letter + "1"))
+        return prefixes.select("key", F.col("v").alias(letter), size.alias("n" + letter), place.alias("p" + letter), shape.bitwiseAND(3).alias("s" + letter), F.col("p0").alias(letter + "0"), F.col("p1").alias(letter + "1"), F.col("earlier").alias("e" + letter))
 
     # over both rows at once: a filter of one side would be pushed under the shuffle, which then would differ
     sides = F.col("sa").bitwiseAND(1) + F.col("sb").bitwiseAND(2) == 3
@@ -166,7 +180,7 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
     differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     met = side("a").hint("shuffle_merge").join(side("b"), "key")
     met = met.filter(sides & ordered & lengths & (reach >= overlap) & (differ <= F.col("na") + F.col("nb") - 2 * overlap))
-    return met.select("a", "b").distinct()
+    return met.filter(~F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
 
 
 def _class_filter(classes: DataFrame, bits: int) -> np.ndarray:
