@@ -182,10 +182,9 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, parts: int =
         if best_only:  # the same centres again, for members that their best centre didn't connect
             best_only = False
             continue
-        open_buckets = ranked if labels is None else _labelled(ranked, labels)
-        label = F.col("v") if labels is None else F.col("label")
-        left = open_buckets.groupBy("key").agg(F.min(label).alias("l"), F.max(label).alias("h"), F.max("rank").alias("r")).filter((F.col("l") != F.col("h")) & (F.col("r") > high))
-        ranked = ranked.join(left.select("key").hint("shuffle_merge"), "key", "left_semi")
+        rows = ranked.withColumn("label", F.col("v")) if labels is None else _labelled(ranked, labels)
+        seen = rows.select("*", F.min("label").over(same_key).alias("l"), F.max("label").over(same_key).alias("h"), F.max("rank").over(same_key).alias("last"))
+        ranked = seen.filter((F.col("l") != F.col("h")) & (F.col("last") > high)).select(*ranked.columns)
         if low == 1:
             parities = sets.select("v", *[F.col("parities")[i].alias(c) for i, c in enumerate(_PARITY_COLUMNS)])
             ranked = ranked.join(parities.hint("shuffle_merge"), "v")
