@@ -535,7 +535,7 @@ s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM lg GROUP BY f
 
 def _z(spark, sf_dir):
     e = base.read(spark, sf_dir, "embeddings")
-    long = e.select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 8)).alias("i", "value")).select("id", (F.col("i") + 1).cast("string").alias("feature"), F.col("value").cast("double").alias("value"))
+    long = e.select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("i", "value")).select("id", (F.col("i") + 1).cast("string").alias("feature"), F.col("value").cast("double").alias("value"))
     return features.standardise(long)
 
 
@@ -558,13 +558,13 @@ def centre_distance(spark, sf_dir):
 @_query("""WITH v AS (SELECT vec_id AS id, embedding[1:8]::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.id, b.id AS other, sqrt(list_sum([(x[1] - x[2]) ** 2 for x in list_zip(a.v, b.v)]) / 8) AS distance FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), other) AS place FROM d) SELECT id, other, round(distance, 6) AS distance, place FROM r WHERE place <= 10""", prelude=False)
 def nearest_works(spark, sf_dir):
-    v = base.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).cast("array<double>").alias("vector"))
+    v = base.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     return features.nearest(v.filter("id % 100 = 0"), v)
 
 
 @_query(None)
 def weighted_pca(spark, sf_dir):
-    return features.principal_components(base.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).cast("array<double>").alias("vector")))
+    return features.principal_components(base.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")))
 
 
 @_query(None)
