@@ -64,11 +64,12 @@ def meter_templates(spark, most_feet: int = 8) -> DataFrame:
 def meter_fit(stresses: DataFrame, most_feet: int = 8, extra: float = 0.7, omitted: float = 0.7, mismatch: float = 1.0) -> DataFrame:
     """Alignment fit of each distinct stress string with each template: 1 - cost / longer length.
 
-    The templates are 40 literals exploded beside each distinct string.  The cost is an edit distance,
-    a fold over syllables whose state is the row of costs.
+    The templates of a pattern are prefixes of its longest one, so a fold for each of the five patterns
+    serves all of its feet.  The cost is an edit distance, a fold over syllables whose state is the row of
+    costs of all prefixes.
     """
-    templates = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(n).alias("feet"), F.lit(f * n).alias("template")) for p, f in FEET.items() for n in range(1, most_feet + 1)])
-    rows = stresses.select("stress").distinct().withColumn("t", F.explode(templates)).select("stress", "t.*")
+    patterns = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(f * most_feet).alias("template"), F.lit(len(f)).alias("foot")) for p, f in FEET.items()])
+    rows = stresses.select("stress").distinct().withColumn("t", F.explode(patterns)).select("stress", "t.*")
     chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     rows = rows.withColumn("s", chars("stress")).withColumn("m", chars("template"))
     start = F.transform(F.concat(F.array(F.lit("")), F.col("m")), lambda x, i: i * F.lit(omitted))
@@ -78,8 +79,10 @@ def meter_fit(stresses: DataFrame, most_feet: int = 8, extra: float = 0.7, omitt
         cells = lambda acc, x: F.concat(acc, F.array(F.least(F.get(prev, F.size(acc) - 1) + F.when(x == ch, 0.0).otherwise(mismatch), F.get(prev, F.size(acc)) + extra, F.element_at(acc, -1) + omitted)))
         return F.aggregate(F.col("m"), first, cells)
 
-    cost = F.element_at(F.aggregate("s", start.cast("array<double>"), step), -1)
-    return rows.withColumn("cost", cost).select("stress", "pattern", "feet", "cost", (1 - F.col("cost") / F.greatest(F.size("s"), F.size("m"))).alias("fit"))
+    rows = rows.withColumn("costs", F.aggregate("s", start.cast("array<double>"), step))
+    rows = rows.withColumn("feet", F.explode(F.sequence(F.lit(1), F.lit(most_feet))))
+    rows = rows.withColumn("cost", F.get("costs", F.col("feet") * F.col("foot")))
+    return rows.select("stress", "pattern", "feet", "cost", (1 - F.col("cost") / F.greatest(F.size("s"), F.col("feet") * F.col("foot"))).alias("fit"))
 
 
 def stress_clash_lapse(syllable_rows: DataFrame) -> DataFrame:

@@ -617,8 +617,8 @@ def internal_rhymes(spark, sf_dir):
 
 @_query(None)
 def meter_fit(spark, sf_dir):
-    first = base.words(spark, sf_dir).filter("line_pos <= 6").groupBy("work_id", "line_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", (base.digit("form", 3, 1) % 2).alias("s")))), lambda x: x["s"].cast("string")), "").alias("stress"))
-    return sound.meter_fit(first)
+    whole = base.words(spark, sf_dir).groupBy("work_id", "line_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", (base.digit("form", 3, 1) % 2).alias("s")))), lambda x: x["s"].cast("string")), "").alias("stress"))
+    return sound.meter_fit(whole)
 
 
 @_query(None)

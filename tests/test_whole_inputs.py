@@ -1,9 +1,12 @@
 """Queries use the whole of their input: results of registered queries against plain computations."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from quire.operators.sound import FEET
 
 RNG = np.random.default_rng(11)
 
@@ -31,3 +34,21 @@ def test_embeddings_are_used_whole(spark, tmp_path):
         assert [near[i, k + 1] for k in range(10)] == list(np.argsort(far)[:10])
     spread = np.var([(r.pc1, r.pc2) for r in run("weighted_pca")], axis=0)
     assert min(spread) > 0.1
+
+
+def test_meter_fit_reads_whole_lines(spark, tmp_path):
+    lines = ["one two three four five six seven eight nine ten eleven twelve thirteen", "dark night", "one two three four five six"]
+    spark.createDataFrame([(1, "\n".join(lines), "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    stress = lambda line: "".join(str(int(hashlib.md5(w.encode()).hexdigest()[2], 16) % 2) for w in line.split())
+
+    def cost(s, m):
+        row = [i * 0.7 for i in range(len(m) + 1)]
+        for ch in s:
+            new = [row[0] + 0.7]
+            for i, x in enumerate(m):
+                new.append(min(row[i] + (x != ch), row[i + 1] + 0.7, new[-1] + 0.7))
+            row = new
+        return row[-1]
+
+    want = {(s, p, n): (pytest.approx(c := cost(s, f * n), abs=1e-5), pytest.approx(1 - c / max(len(s), len(f * n)), abs=1e-5)) for s in map(stress, lines) for p, f in FEET.items() for n in range(1, 9)}
+    assert {(r.stress, r.pattern, r.feet): (r.cost, r.fit) for r in entry.queries()["meter_fit"](spark, str(tmp_path)).collect()} == want
