@@ -11,7 +11,7 @@ from ..functions.columns import ratio
 def corpus_manifest(works: DataFrame) -> DataFrame:
     """Bytes, hash, characters, lines and words of each work."""
     lines = F.split("text", "\n")
-    words = F.size(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0))
+    words = F.size(F.regexp_extract_all("text", F.lit("\\p{L}+"), 0))
     return works.select("work_id", "poet", F.octet_length("text").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.char_length("text").alias("chars"), F.size(lines).alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("filled_lines"), words.alias("words"))
 
 

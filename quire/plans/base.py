@@ -15,21 +15,23 @@ STOPWORDS = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it"]
 PROTECTED = ["not", "is"]
 TAGS = ["NOUN", "VERB", "ADJ", "ADV", "DET", "PRON", "ADP", "X"]
 CATEGORIES = ["anger", "fear", "joy", "trust"]
-LETTERS = "[A-Za-z]+"
+LETTERS = "\\p{L}+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").filter("lang = 'en'")
+def works(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """All documents, or those of one language for rules that hold for it alone."""
+    docs = read(spark, sf_dir, "documents")
+    docs = docs.filter(F.col("lang") == lang) if lang else docs
     return docs.select(F.col("doc_id").alias("work_id"), F.col("source").alias("poet"), "text")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """work_id, pos, line_no, line_pos, surface, form of runs of ASCII letters."""
-    rows = structure.tokens(structure.lines(works(spark, sf_dir)), LETTERS)
+def words(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """work_id, pos, line_no, line_pos, surface, form of runs of letters."""
+    rows = structure.tokens(structure.lines(works(spark, sf_dir, lang)), LETTERS)
     return rows.select("work_id", "pos", "line_no", "line_pos", "surface", "form")
 
 
@@ -53,13 +55,13 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_exact(w, norms(w))
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir)
+def tagged(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    w = words(spark, sf_dir, lang)
     return structure.annotate_pos_lemma(w, tags(w))
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.match_exact(tagged(spark, sf_dir), norms(words(spark, sf_dir)))
+def evidence(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    rows = matching.match_exact(tagged(spark, sf_dir, lang), norms(words(spark, sf_dir, lang)))
     return rows.withColumn("is_stopword", F.col("form").isin(STOPWORDS)).withColumn("is_content", F.col("tag").isin(*structure.CONTENT))
 
 

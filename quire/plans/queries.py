@@ -165,14 +165,14 @@ def _words_table(spark, words):
 def stopword_policy(spark, sf_dir):
     active = structure.stopword_policy(_words_table(spark, base.STOPWORDS), _words_table(spark, ["a"]), _words_table(spark, ["zzz"]), _words_table(spark, base.PROTECTED))
     listed = active.withColumnRenamed("word", "form").withColumn("stop", F.lit(True))
-    return matching.match_exact(base.words(spark, sf_dir), listed).groupBy("work_id").agg(F.count_if("stop").alias("stopwords"))
+    return matching.match_exact(base.words(spark, sf_dir, "en"), listed).groupBy("work_id").agg(F.count_if("stop").alias("stopwords"))
 
 
 @_query("""SELECT work_id, CASE WHEN form IN ('not','is') OR lemma IN ('not','is') THEN 'protected' WHEN form IN ('of') OR lemma IN ('of') THEN 'removed'
 WHEN form IN ('the','of','and','to','in','a','is','that','for','it') OR lemma IN ('the','of','and','to','in','a','is','that','for','it') THEN 'standard' WHEN form IN ('was') OR lemma IN ('was') THEN 'custom' ELSE 'none' END AS status, count(*) AS tokens FROM e GROUP BY ALL""")
 def stopword_classify(spark, sf_dir):
     t = lambda *w: _words_table(spark, w)
-    return matching.stopword_classify(base.tagged(spark, sf_dir), t(*base.STOPWORDS), t(*base.PROTECTED), t("of"), t("was")).groupBy("work_id", "status").agg(F.count("*").alias("tokens"))
+    return matching.stopword_classify(base.tagged(spark, sf_dir, "en"), t(*base.STOPWORDS), t(*base.PROTECTED), t("of"), t("was")).groupBy("work_id", "status").agg(F.count("*").alias("tokens"))
 
 
 @_query("""SELECT source AS path, sha256(text) AS sha256, max(doc_id) AS imported, row_number() OVER (PARTITION BY source ORDER BY max(doc_id) DESC, sha256(text)) = 1 AS is_active FROM documents GROUP BY source, sha256(text)""", prelude=False)
@@ -376,7 +376,7 @@ _SYLLABLES = "greatest(1, len(regexp_extract_all(form, '[aeiouy]+')) - CASE WHEN
 
 @_query(f"SELECT form, {_SYLLABLES} AS syllables FROM vocab")
 def syllable_heuristic(spark, sf_dir):
-    return base.words(spark, sf_dir).select("form").distinct().select("form", syllables(F.col("form")).alias("syllables"))
+    return base.words(spark, sf_dir, "en").select("form").distinct().select("form", syllables(F.col("form")).alias("syllables"))
 
 
 _READ = f""", {_SENTENCES}, sc AS (SELECT work_id, count(*) AS sentences FROM sn GROUP BY work_id),
@@ -384,8 +384,8 @@ c AS (SELECT work_id, count(*) AS words, any_value(sentences) AS sentences, sum(
 
 
 def _readability(spark, sf_dir):
-    counts = structure.sentences(base.works(spark, sf_dir)).groupBy("work_id").agg(F.count("*").alias("sentences"))
-    return statistics.readability(base.words(spark, sf_dir), counts)
+    counts = structure.sentences(base.works(spark, sf_dir, "en")).groupBy("work_id").agg(F.count("*").alias("sentences"))
+    return statistics.readability(base.words(spark, sf_dir, "en"), counts)
 
 
 @_query(_READ + " SELECT work_id, words, sentences, syllables, letters, long_words FROM c")
@@ -414,7 +414,7 @@ def rare_tail(spark, sf_dir):
 
 @_query("SELECT work_id, round(avg(value) FILTER (NOT is_stopword) - avg(value), 6) AS delta FROM e GROUP BY work_id")
 def stopword_sensitivity(spark, sf_dir):
-    e = base.evidence(spark, sf_dir)
+    e = base.evidence(spark, sf_dir, "en")
     return e.groupBy("work_id").agg((F.avg(F.when(~F.col("is_stopword"), F.col("value"))) - F.avg("value")).alias("delta"))
 
 
@@ -454,7 +454,7 @@ def corpus_category_profiles(spark, sf_dir):
 
 @_query(""" , x AS (SELECT work_id, tag, avg(value) AS a, avg(value) FILTER (NOT is_stopword) AS b FROM e GROUP BY ALL) SELECT work_id, tag, round(a, 6) AS value_a, round(b, 6) AS value_b, round(b - a, 6) AS delta, round(abs(b - a), 6) AS absolute FROM x""")
 def scenario_deltas(spark, sf_dir):
-    e = base.evidence(spark, sf_dir)
+    e = base.evidence(spark, sf_dir, "en")
     side = lambda v: e.groupBy("work_id", "tag").agg(F.avg(v).alias("value"))
     return corpus.metric_deltas(side(F.col("value")), side(F.when(~F.col("is_stopword"), F.col("value"))), ["work_id", "tag"])
 

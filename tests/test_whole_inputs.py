@@ -52,3 +52,27 @@ def test_meter_fit_reads_whole_lines(spark, tmp_path):
 
     want = {(s, p, n): (pytest.approx(c := cost(s, f * n), abs=1e-5), pytest.approx(1 - c / max(len(s), len(f * n)), abs=1e-5)) for s in map(stress, lines) for p, f in FEET.items() for n in range(1, 9)}
     assert {(r.stress, r.pattern, r.feet): (r.cost, r.fit) for r in entry.queries()["meter_fit"](spark, str(tmp_path)).collect()} == want
+
+
+ENGLISH_RULES = ["stopword_policy", "stopword_classify", "syllable_heuristic", "readability_counts", "readability_indices", "stopword_sensitivity", "scenario_deltas"]
+
+
+def widened(name):
+    """The query's SQL over words of any letters, and over all documents where its rules are not English ones."""
+    sql = entry.oracle_sql()[name].replace("[A-Za-z]+", "\\p{L}+")
+    return sql if name in ENGLISH_RULES else sql.replace(" WHERE lang = 'en'", "")
+
+
+@pytest.mark.parametrize("name", ["corpus_manifest", "corpus_issues", "tokens", "refrains", "six_profiles", "readability_counts", "stopword_policy"])
+def test_documents_of_all_languages_are_used(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, "the dark night\nthe dark night", "en"), (2, "l'été déjà passé\nà Noël", "fr"), (3, "schöne Grüße\nschöne Grüße", "de"), (4, "mañana no", "es"), (5, "no language", None)]
+    spark.createDataFrame([(i, t, lang, "a", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cursor = con.execute(widened(name))
+    heads = [d[0] for d in cursor.description]
+    plain = lambda rows: sorted(tuple(str(round(x, 5) if isinstance(x, float) else x) for x in r) for r in rows)
+    got = entry.queries()[name](spark, str(tmp_path)).select(*heads).collect()
+    assert plain(got) == plain(cursor.fetchall())
+    assert name in ENGLISH_RULES or name == "refrains" or {r.work_id for r in got} == {1, 2, 3, 4, 5}
