@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import Encoder
+from .chunks import Encoder, by_pieces
 
 _NONE = 1 << 60
 
@@ -51,7 +50,11 @@ class ByteBPE:
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
                 self.reachable.add(token)
         self.automaton.make_automaton()
-        self.encoder = Encoder(regex.compile(pattern).findall, self._pack)
+        find = regex.compile(pattern).findall
+        ids_of = lambda piece: self.encode_piece(piece.encode())
+        newline = ranks.get(b"\n", 0)
+        self.encoder = Encoder(by_pieces(find, ids_of, newline), lambda text: [i for x in find(text) for i in ids_of(x)], newline)
+        self.shown = pa.array([self.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)], pa.binary())
 
     def merged(self, data: bytes) -> list[int]:
         """BPE by repeated merging of the leftmost pair of lowest rank; used on short inputs only."""
@@ -98,15 +101,20 @@ class ByteBPE:
                 at, left = untried.pop()
         return out
 
-    def _pack(self, piece: str) -> bytes:
-        ids = self.encode_piece(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encoder.encode_many([text])[0], "<u4").tolist()
+        [(ids, _)] = self.encoder.encode_column(pa.array([text], pa.string()))
+        return ids.tolist()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return bytes(self.decode_many(np.asarray(ids, np.int32), np.array([len(ids)]))[0])
+
+    def decode_many(self, ids: np.ndarray, sizes: np.ndarray) -> list[memoryview]:
+        """The bytes of each document, from flat ids and their number for each; Arrow joins the tokens'."""
+        tokens = self.shown.take(pa.array(ids, pa.int32()))
+        ends = np.frombuffer(tokens.buffers()[1], np.int32, len(ids) + 1, tokens.offset * 4) if len(ids) else np.zeros(1, np.int32)
+        data = memoryview(tokens.buffers()[2]).cast("B") if len(ids) else memoryview(b"")
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 _HELD: dict[tuple[str, str], ByteBPE] = {}
@@ -136,18 +144,16 @@ def bpe_roundtrip(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         for batch in batches:
-            n, ids_sha, text_sha, all_ids = [], [], [], []
-            texts = batch.column("text").to_pylist()
-            for packed in (p for lo in range(0, len(texts), 500) for p in bpe.encoder.encode_many(texts[lo : lo + 500])):
-                ids = np.frombuffer(packed, "<u4")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids.tolist())).hexdigest())
+            at = 0
+            for ids, sizes in bpe.encoder.encode_column(batch.column("text")):
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                packed, ends = memoryview(ids.astype("<u4").tobytes()), (4 * bounds).tolist()
+                ids_sha = [hashlib.sha256(packed[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+                text_sha = [hashlib.sha256(x).hexdigest() for x in bpe.decode_many(ids, sizes)]
+                columns = [batch.column(c).slice(at, len(sizes)) for c in out_cols] + [pa.array(sizes, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if keep_ids:
-                    all_ids.append(ids.astype(np.int32))
-            columns = [batch.column(c) for c in out_cols] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if keep_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=[*out_cols, *made])
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=[*out_cols, *made])
+                at += len(sizes)
 
     return docs.select(*[f"`{c}`" for c in carried]).mapInArrow(run, schema)

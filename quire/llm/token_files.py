@@ -1,6 +1,6 @@
 r"""Token ids in ORC files, ordered by document id.
 
-Each document becomes one ORC row (doc_id, pos, ids).  ORC's integer columns use run-length encoding
+Each document becomes one ORC row (doc_id, pos, n_tokens, ids).  ORC's integer columns use run-length encoding
 (version 2: short repeats, deltas, patched base), each stripe holds row-index entries with minima and
 maxima, and Bloom filters on doc_id let a lookup skip row groups and stripes.  Stripes can be read in
 parallel.  ``pos`` is the position of the row: the number of its file's range partition in the upper
@@ -9,7 +9,8 @@ bits, its place in it in the lower 33, so ascending pos is ascending doc_id over
 The documents are range-partitioned by doc_id as text and encoded behind that shuffle: the ids, twice
 as many bytes as the text here, cross no network, and sampling for the ranges doesn't tokenize.
 
-Edge cases: null or empty text gives the end id alone.  Rows with a null doc_id come first; rows with
+Edge cases: null or empty text gives the end id alone.  The tokenizer's added tokens, written out in a text,
+get their own ids, as in the library.  Rows with a null doc_id come first; rows with
 equal ids are all kept, in an order fixed by a hash of the text.  An empty table writes no row.
 Columns other than doc_id and text are not stored.
 """
@@ -17,7 +18,6 @@ Columns other than doc_id and text are not stored.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import shuffle_width
-from .chunks import Encoder
+from .chunks import Encoder, by_pieces
 
 _HELD: dict[str, Encoder] = {}
 
@@ -44,44 +44,48 @@ def _encoder(path: str) -> Encoder:
     """The worker's encoder for a byte-level tokenizer file, built once per Python worker.
 
     The library's model encodes each distinct piece.  Pieces that are letters, or letters and a mark,
-    are cut here; any other chunk is cut by the library's own pre-tokenizer.
+    are cut here; any other chunk is cut by the library's own pre-tokenizer.  Texts that hold one of the
+    tokenizer's added tokens, and texts of irregular white space, are encoded by the library whole.
     """
     if path not in _HELD:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        model, cut = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+        tokenize, cut = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str
         shown = byte_characters()
+        added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
         def pieces(chunk: str) -> list[str]:
             return [chunk[a:b] for _, (a, b) in cut(chunk)]
 
-        def encode(piece: str) -> bytes:
-            ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(shown))]
-            return struct.pack(f"<{len(ids)}I", *ids)
+        def ids(piece: str) -> list[int]:
+            return [t.id for t in tokenize(piece.encode().decode("latin-1").translate(shown))]
+
+        def whole(text: str) -> list[int]:
+            return tokenizer.encode(text, add_special_tokens=False).ids
 
         _HELD.clear()
-        _HELD[path] = Encoder(pieces, encode)
+        [newline] = ids("\n")
+        _HELD[path] = Encoder(by_pieces(pieces, ids, newline), whole, newline, added)
     return _HELD[path]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, ids array<int>) of every row, with the end id appended; keeps the rows' order."""
+    """(doc_id, n_tokens, ids array<int>) of every row, with the end id appended; keeps the rows' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo in range(0, len(texts), 1000):
-                packed = [p + end for p in encoder.encode_many(texts[lo : lo + 1000])]
-                sizes = np.array([len(p) // 4 for p in packed], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, 1000), pa.ListArray.from_arrays(pa.array(ends), ids)], names=["doc_id", "ids"])
+            at = 0
+            for flat, sizes in encoder.encode_column(batch.column("text")):
+                ids = np.insert(flat, np.cumsum(sizes), end_id)
+                ends = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(sizes)), pa.array(sizes + 1, pa.int64()), lists], names=["doc_id", "n_tokens", "ids"])
+                at += len(sizes)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>")
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, stripe_mb: int = 16, rows_per_index: int = 1000) -> None:
@@ -90,7 +94,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     (
         encode_documents(ordered, tokenizer_path, end_id)
-        .select("doc_id", F.monotonically_increasing_id().alias("pos"), "ids")
+        .select("doc_id", F.monotonically_increasing_id().alias("pos"), "n_tokens", "ids")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
@@ -102,8 +106,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, pos, ids).  A list of ids becomes a filter that ORC's statistics and Bloom filters prune."""
-    files = spark.read.schema("doc_id bigint, pos bigint, ids array<int>").orc(path)
+    """(doc_id, pos, n_tokens, ids).  A list of ids becomes a filter that ORC's statistics and Bloom filters prune."""
+    files = spark.read.schema("doc_id bigint, pos bigint, n_tokens bigint, ids array<int>").orc(path)
     return files if doc_ids is None else files.filter(F.col("doc_id").isin(doc_ids))
 
 
@@ -125,7 +129,7 @@ def describe_token_files(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("part", F.shiftright("pos", 33))
     inside = Window.partitionBy("part").orderBy("pos")
     rows = rows.withColumn("upto", F.sum("n_tokens").over(inside))
-    parts = read_token_files(spark, path).groupBy(F.shiftright("pos", 33).alias("part")).agg(F.sum(F.size("ids")).alias("all"))
+    parts = read_token_files(spark, path).groupBy(F.shiftright("pos", 33).alias("part")).agg(F.sum("n_tokens").alias("all"))  # reads no ids
     offsets = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
     joined = rows.join(F.broadcast(offsets), "part")  # one row for each range partition, as many as shuffle partitions
     return joined.select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
