@@ -1,13 +1,13 @@
 """Joining tokens with lexicons.
 
-Lexicons that come from files carry a true size and may be broadcast by it; derived ones do not, so all
-joins here name their strategy.  Tokens are reduced to distinct forms first where that helps: dictionary
+Lexicons come from files, or are written out first: their true size decides whether Spark broadcasts them, and
+adaptive execution splits the hot words of a join that shuffles.  Other joins name their strategy.  Tokens are reduced to distinct forms first where that helps: dictionary
 work grows with the vocabulary, not with the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import possessive_base
@@ -15,7 +15,7 @@ from ..functions.columns import possessive_base
 
 def match_exact(token_rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Tokens with the lexicon's columns of their form, null where it lists none."""
-    return token_rows.join(lexicon.hint("shuffle_merge"), "form", "left")
+    return token_rows.join(lexicon, "form", "left")
 
 
 def match_cascade(token_rows: DataFrame, lexicon: DataFrame, collisions: DataFrame | None = None) -> DataFrame:
@@ -65,19 +65,14 @@ def unmatched_terms(matches: DataFrame) -> DataFrame:
     return missing.groupBy("work_id", "form").agg(F.count("*").alias("frequency"), F.min("line_no").alias("first_line"), F.min_by("surface", "pos").alias("example"))
 
 
-def stopword_classify(matches: DataFrame, standard: DataFrame, protected: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
-    """Adds status and excluded; protected, removed, standard, custom, none in that precedence, by surface
-    form or lemma.  The lists are short literal tables and are broadcast."""
-
-    def flag(df: DataFrame, words: DataFrame, name: str) -> DataFrame:
-        listed = F.broadcast(words.select(F.collect_set("word").alias(name)))
-        return df.join(listed)
-
-    for name, words in (("p", protected), ("r", removed), ("s", standard), ("a", added)):
-        matches = flag(matches, words, f"_{name}")
-    held = lambda n: F.array_contains(f"_{n}", F.col("form")) | F.array_contains(f"_{n}", F.col("lemma"))
-    status = F.when(held("p"), "protected").when(held("r"), "removed").when(held("s"), "standard").when(held("a"), "custom").otherwise("none")
-    return matches.withColumn("status", status).withColumn("excluded", status.isin("standard", "custom")).drop("_p", "_r", "_s", "_a")
+def stopword_classify(matches: DataFrame, standard: list[str], protected: list[str], removed: list[str], added: list[str], kept_phrase: Column | None = None) -> DataFrame:
+    """Adds status and excluded; phrase kept, protected, removed, standard, custom, none in that precedence, by
+    surface form or lemma.  The lists are short; ``kept_phrase`` says whether a token is in a kept phrase."""
+    held = lambda words: F.col("form").isin(words) | F.col("lemma").isin(words)
+    status = F.when(held(protected), "protected").when(held(removed), "removed").when(held(standard), "standard").when(held(added), "custom").otherwise("none")
+    if kept_phrase is not None:
+        status = F.when(kept_phrase, "phrase_kept").otherwise(status)
+    return matches.withColumn("status", status).withColumn("excluded", status.isin("standard", "custom"))
 
 
 def lexicon_lookup(terms: DataFrame, lexicons: DataFrame) -> DataFrame:

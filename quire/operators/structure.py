@@ -41,6 +41,17 @@ def tokens(line_rows: DataFrame, pattern: str = TOKEN) -> DataFrame:
     )
 
 
+def work_tokens(works: DataFrame, pattern: str = TOKEN) -> DataFrame:
+    """``tokens`` of whole works, numbered inside each work's row, so that nothing is shuffled."""
+    lines = F.transform(text_lines(F.col("text")), lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda w, j: F.struct((i + 1).alias("line_no"), (j + 1).alias("line_pos"), w.alias("surface"))))
+    each = works.select("work_id", F.posexplode(F.flatten(lines)).alias("i", "t"))
+    form = normal_form(F.col("t.surface"))
+    return each.select(
+        "work_id", (F.col("i") + 1).alias("pos"), "t.line_no", "t.line_pos", "t.surface", form.alias("form"), strip_edges(form).alias("bare"),
+        (~F.col("t.surface").rlike("[\\p{L}\\p{N}]")).alias("is_punct"), F.col("t.surface").rlike("^[0-9]+$").alias("is_numeric"), F.col("t.surface").rlike("^\\p{L}+$").alias("is_alpha"),
+    )
+
+
 def eligibility(token_rows: DataFrame) -> DataFrame:
     """Adds eligible and reason: lexical, or numeric with a letter."""
     reason = F.when(F.col("is_punct"), "punctuation").when(F.col("is_numeric") & ~F.col("form").rlike("\\p{L}"), "numeric").otherwise("eligible")
@@ -48,8 +59,9 @@ def eligibility(token_rows: DataFrame) -> DataFrame:
 
 
 def annotate_pos_lemma(token_rows: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Part of speech and lemma from a table (form, tag, lemma); unlisted words are X and their own lemma."""
-    joined = token_rows.join(annotations.hint("shuffle_merge"), "form", "left")
+    """Part of speech and lemma from a table (form, tag, lemma); unlisted words are X and their own lemma.
+    The table comes from files: its size decides how it is joined."""
+    joined = token_rows.join(annotations, "form", "left")
     return joined.withColumn("tag", F.coalesce("tag", F.lit("X"))).withColumn("lemma", F.coalesce("lemma", "form"))
 
 

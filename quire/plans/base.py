@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching, structure
+from ..sources.tables import kept
 
 STOPWORDS = ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it"]
 PROTECTED = ["not", "is"]
@@ -30,44 +31,54 @@ def works(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFram
 
 
 def words(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    """work_id, pos, line_no, line_pos, surface, form of runs of letters."""
-    rows = structure.tokens(structure.lines(works(spark, sf_dir, lang)), LETTERS)
-    return rows.select("work_id", "pos", "line_no", "line_pos", "surface", "form")
+    """work_id, pos, line_no, line_pos, surface, form of runs of letters; no shuffle."""
+    return structure.work_tokens(works(spark, sf_dir, lang), LETTERS).select("work_id", "pos", "line_no", "line_pos", "surface", "form")
 
 
 def digit(column, at: int, length: int):
     return F.conv(F.substring(F.md5(F.col(column).cast("binary")), at, length), 16, 10).cast("int")
 
 
-def norms(vocabulary: DataFrame) -> DataFrame:
+def lexicon(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """form, tag, lemma, listed, value, arousal, dominance, categories of every word of the works: what a
+    tagger and the lexicon files would give, derived once a session and written out."""
+
+    def make() -> DataFrame:
+        forms = words(spark, sf_dir, lang).select("form").distinct()
+        some = F.filter(F.array(*[F.when(digit("form", 20 + i, 1) < 4, F.lit(c)) for i, c in enumerate(CATEGORIES)]), lambda c: c.isNotNull())
+        listed = digit("form", 5, 1) < 8
+        tag = F.element_at(F.array(*[F.lit(t) for t in TAGS]), digit("form", 14, 1) % 8 + 1)
+        scores = [F.when(listed, digit("form", at, 4) / 65535).alias(name) for name, at in (("value", 1), ("arousal", 6), ("dominance", 10))]
+        return forms.select("form", tag.alias("tag"), F.regexp_replace("form", "(ing|ed|s)$", "").alias("lemma"), listed.alias("listed"), *scores, F.when(listed, some).alias("categories"))
+
+    return kept(spark, f"lexicon {sf_dir} {lang}", make)
+
+
+def norms(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """form, value, arousal, dominance, categories for the half of the words that is listed."""
-    listed = vocabulary.select("form").distinct().filter(digit("form", 5, 1) < 8)
-    some = F.filter(F.array(*[F.when(digit("form", 20 + i, 1) < 4, F.lit(c)) for i, c in enumerate(CATEGORIES)]), lambda c: c.isNotNull())
-    return listed.select("form", (digit("form", 1, 4) / 65535).alias("value"), (digit("form", 6, 4) / 65535).alias("arousal"), (digit("form", 10, 4) / 65535).alias("dominance"), some.alias("categories"))
+    return lexicon(spark, sf_dir, lang).filter("listed").select("form", "value", "arousal", "dominance", "categories")
 
 
-def tags(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.select("form").distinct().select("form", F.element_at(F.array(*[F.lit(t) for t in TAGS]), digit("form", 14, 1) % 8 + 1).alias("tag"), F.regexp_replace("form", "(ing|ed|s)$", "").alias("lemma"))
+def tags(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    return lexicon(spark, sf_dir, lang).select("form", "tag", "lemma")
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir)
-    return matching.match_exact(w, norms(w))
+def matches(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    return matching.match_exact(words(spark, sf_dir, lang), norms(spark, sf_dir, lang))
 
 
 def tagged(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    w = words(spark, sf_dir, lang)
-    return structure.annotate_pos_lemma(w, tags(w))
+    return structure.annotate_pos_lemma(words(spark, sf_dir, lang), tags(spark, sf_dir, lang))
 
 
 def evidence(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    rows = matching.match_exact(tagged(spark, sf_dir, lang), norms(words(spark, sf_dir, lang)))
+    """Tokens with tag, lemma and scores by one join with the whole lexicon."""
+    rows = structure.annotate_pos_lemma(words(spark, sf_dir, lang), lexicon(spark, sf_dir, lang).drop("listed"))
     return rows.withColumn("is_stopword", F.col("form").isin(STOPWORDS)).withColumn("is_content", F.col("tag").isin(*structure.CONTENT))
 
 
 def work_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matches(spark, sf_dir).groupBy("work_id").agg(F.avg("value").alias("valence"), F.avg("arousal").alias("arousal"), F.avg("dominance").alias("dominance"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"), F.count("*").alias("tokens"))
-    return m
+    return matches(spark, sf_dir).groupBy("work_id").agg(F.avg("value").alias("valence"), F.avg("arousal").alias("arousal"), F.avg("dominance").alias("dominance"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"), F.count("*").alias("tokens"))
 
 
 _LIST = ", ".join(f"'{t}'" for t in TAGS)
@@ -76,10 +87,10 @@ _STOP = ", ".join(f"'{s}'" for s in STOPWORDS)
 _CUT = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
 
 PRELUDE = f"""
-WITH wk AS (SELECT doc_id AS work_id, source AS poet, text FROM documents WHERE lang = 'en'),
+WITH wk AS (SELECT doc_id AS work_id, source AS poet, text FROM documents),
 pt AS (SELECT work_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM (SELECT work_id, string_split_regex(text, {_CUT}) AS p FROM wk)),
 ln AS (SELECT work_id, i AS line_no, p[i] AS line FROM (SELECT work_id, p, unnest(range(1, len(p) + 1)) AS i FROM pt)),
-tk AS (SELECT work_id, line_no, j AS line_pos, ws[j] AS surface, lower(ws[j]) AS form FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM (SELECT *, regexp_extract_all(line, '[A-Za-z]+') AS ws FROM ln))),
+tk AS (SELECT work_id, line_no, j AS line_pos, ws[j] AS surface, lower(ws[j]) AS form FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM (SELECT *, regexp_extract_all(line, '\\p{{L}}+') AS ws FROM ln))),
 t AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY line_no, line_pos) AS pos FROM tk),
 vocab AS (SELECT DISTINCT form FROM t),
 nm AS (SELECT form, ('0x' || substr(md5(form), 1, 4))::INT / 65535.0 AS value, ('0x' || substr(md5(form), 6, 4))::INT / 65535.0 AS arousal, ('0x' || substr(md5(form), 10, 4))::INT / 65535.0 AS dominance,
@@ -90,5 +101,8 @@ e AS (SELECT m.*, tg.tag, tg.lemma, m.form IN ({_STOP}) AS is_stopword, tg.tag I
 wm AS (SELECT work_id, avg(value) AS valence, avg(arousal) AS arousal, avg(dominance) AS dominance, stddev_pop(value) AS sd, count(value) AS n, count(*) AS tokens FROM m GROUP BY work_id)
 """
 
+#: The same for rules that hold for English alone.
+ENGLISH = PRELUDE.replace("FROM documents)", "FROM documents WHERE lang = 'en')", 1)
+
 STATS = """count(value) AS count, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, CASE WHEN count(value) > 1 THEN round(stddev_pop(value), 6) END AS sd, round(min(value), 6) AS minimum,
 CASE WHEN count(value) > 1 THEN round(quantile_cont(value, 0.25), 6) END AS q1, CASE WHEN count(value) > 1 THEN round(quantile_cont(value, 0.75), 6) END AS q3, round(max(value), 6) AS maximum"""

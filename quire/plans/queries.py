@@ -14,18 +14,18 @@ from ..functions.columns import ratio, rounded, strip_edges, summary, syllables
 from ..operators import corpus, features, matching, sound, statistics, structure
 from ..sources import files
 from . import base
-from .base import PRELUDE, STATS
+from .base import ENGLISH, PRELUDE, STATS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(sql: str | None, prelude: bool = True):
+def _query(sql: str | None, prelude: bool | str = True):
     def keep(f):
         name = f.__name__
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = (PRELUDE if prelude else "") + sql
+            ORACLES[name] = (prelude if isinstance(prelude, str) else PRELUDE if prelude else "") + sql
         return f
 
     return keep
@@ -34,7 +34,7 @@ def _query(sql: str | None, prelude: bool = True):
 # --- ingest ---------------------------------------------------------------------------------------
 
 _MANIFEST = """SELECT work_id, poet, strlen(text) AS bytes, sha256(text) AS sha256, length(text) AS chars, len(string_split(text, chr(10))) AS lines,
-len([x for x in string_split(text, chr(10)) if trim(x) <> '']) AS filled_lines, len(regexp_extract_all(text, '[A-Za-z]+')) AS words FROM wk"""
+len([x for x in string_split(text, chr(10)) if trim(x) <> '']) AS filled_lines, len(regexp_extract_all(text, '\\p{L}+')) AS words FROM wk"""
 
 
 @_query(_MANIFEST)
@@ -59,7 +59,7 @@ def corpus_registry(spark, sf_dir):
     return base.read(spark, sf_dir, "documents").groupBy(F.col("source").alias("corpus")).agg(F.count("*").alias("works"), F.countDistinct("lang").alias("poets"))
 
 
-@_query("""SELECT doc_id AS work_id, sha256(text) AS sha256, CASE WHEN doc_id % 3 = 0 THEN 'reuse' ELSE 'todo' END AS action FROM documents WHERE lang = 'en'""", prelude=False)
+@_query("""SELECT doc_id AS work_id, sha256(text) AS sha256, CASE WHEN doc_id % 3 = 0 THEN 'reuse' ELSE 'todo' END AS action FROM documents""", prelude=False)
 def incremental_profiles(spark, sf_dir):
     manifest = corpus.corpus_manifest(base.works(spark, sf_dir)).select("work_id", "sha256")
     return corpus.incremental(manifest, manifest.filter("work_id % 3 = 0"))
@@ -161,18 +161,17 @@ def _words_table(spark, words):
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
-@_query("SELECT work_id, count(*) FILTER (form IN ('the','of','and','to','in','a','that','for','it')) AS stopwords FROM t GROUP BY work_id")
+@_query("SELECT work_id, count(*) FILTER (form IN ('the','of','and','to','in','a','that','for','it')) AS stopwords FROM t GROUP BY work_id", prelude=ENGLISH)
 def stopword_policy(spark, sf_dir):
     active = structure.stopword_policy(_words_table(spark, base.STOPWORDS), _words_table(spark, ["a"]), _words_table(spark, ["zzz"]), _words_table(spark, base.PROTECTED))
-    listed = active.withColumnRenamed("word", "form").withColumn("stop", F.lit(True))
+    listed = F.broadcast(active.withColumnRenamed("word", "form").withColumn("stop", F.lit(True)))  # a dozen literals
     return matching.match_exact(base.words(spark, sf_dir, "en"), listed).groupBy("work_id").agg(F.count_if("stop").alias("stopwords"))
 
 
 @_query("""SELECT work_id, CASE WHEN form IN ('not','is') OR lemma IN ('not','is') THEN 'protected' WHEN form IN ('of') OR lemma IN ('of') THEN 'removed'
-WHEN form IN ('the','of','and','to','in','a','is','that','for','it') OR lemma IN ('the','of','and','to','in','a','is','that','for','it') THEN 'standard' WHEN form IN ('was') OR lemma IN ('was') THEN 'custom' ELSE 'none' END AS status, count(*) AS tokens FROM e GROUP BY ALL""")
+WHEN form IN ('the','of','and','to','in','a','is','that','for','it') OR lemma IN ('the','of','and','to','in','a','is','that','for','it') THEN 'standard' WHEN form IN ('was') OR lemma IN ('was') THEN 'custom' ELSE 'none' END AS status, count(*) AS tokens FROM e GROUP BY ALL""", prelude=ENGLISH)
 def stopword_classify(spark, sf_dir):
-    t = lambda *w: _words_table(spark, w)
-    return matching.stopword_classify(base.tagged(spark, sf_dir, "en"), t(*base.STOPWORDS), t(*base.PROTECTED), t("of"), t("was")).groupBy("work_id", "status").agg(F.count("*").alias("tokens"))
+    return matching.stopword_classify(base.tagged(spark, sf_dir, "en"), base.STOPWORDS, base.PROTECTED, ["of"], ["was"]).groupBy("work_id", "status").agg(F.count("*").alias("tokens"))
 
 
 @_query("""SELECT source AS path, sha256(text) AS sha256, max(doc_id) AS imported, row_number() OVER (PARTITION BY source ORDER BY max(doc_id) DESC, sha256(text)) = 1 AS is_active FROM documents GROUP BY source, sha256(text)""", prelude=False)
@@ -194,8 +193,7 @@ FROM e LEFT JOIN nm l ON l.form = e.lemma)"""
 
 
 def _cascade(spark, sf_dir):
-    t = base.tagged(spark, sf_dir)
-    return matching.match_cascade(t, base.norms(t))
+    return matching.match_cascade(base.tagged(spark, sf_dir), base.norms(spark, sf_dir))
 
 
 @_query(f", {_CASCADE} SELECT work_id, pos, form, term, method FROM c")
@@ -234,8 +232,8 @@ def phrase_select_longest(spark, sf_dir):
 @_query("""SELECT v.form AS term, 'a' AS lexicon, coalesce(x.form, y.form) AS form, round(coalesce(x.value, y.value), 6) AS value, CASE WHEN x.form IS NOT NULL THEN 'exact' ELSE 'lemma' END AS method
 FROM tg v LEFT JOIN nm x ON x.form = v.form LEFT JOIN nm y ON y.form = v.lemma WHERE coalesce(x.form, y.form) IS NOT NULL""")
 def lexicon_lookup_batch(spark, sf_dir):
-    t = base.tagged(spark, sf_dir)
-    return matching.lexicon_lookup(t.select(F.col("form").alias("term"), "lemma").distinct(), base.norms(t).select("form", "value", F.lit("a").alias("lexicon")))
+    terms = base.tags(spark, sf_dir).select(F.col("form").alias("term"), "lemma")
+    return matching.lexicon_lookup(terms, base.norms(spark, sf_dir).select("form", "value", F.lit("a").alias("lexicon")))
 
 
 # --- aggregates -----------------------------------------------------------------------------------
@@ -374,7 +372,7 @@ def mtld(spark, sf_dir):
 _SYLLABLES = "greatest(1, len(regexp_extract_all(form, '[aeiouy]+')) - CASE WHEN regexp_matches(form, 'e$') AND NOT regexp_matches(form, '[^aeiouy]le$') AND len(regexp_extract_all(form, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END)"
 
 
-@_query(f"SELECT form, {_SYLLABLES} AS syllables FROM vocab")
+@_query(f"SELECT form, {_SYLLABLES} AS syllables FROM vocab", prelude=ENGLISH)
 def syllable_heuristic(spark, sf_dir):
     return base.words(spark, sf_dir, "en").select("form").distinct().select("form", syllables(F.col("form")).alias("syllables"))
 
@@ -388,13 +386,13 @@ def _readability(spark, sf_dir):
     return statistics.readability(base.words(spark, sf_dir, "en"), counts)
 
 
-@_query(_READ + " SELECT work_id, words, sentences, syllables, letters, long_words FROM c")
+@_query(_READ + " SELECT work_id, words, sentences, syllables, letters, long_words FROM c", prelude=ENGLISH)
 def readability_counts(spark, sf_dir):
     return _readability(spark, sf_dir).select("work_id", "words", "sentences", "syllables", "letters", "long_words")
 
 
 @_query(_READ + """ SELECT work_id, round(206.835 - 1.015 * words / sentences - 84.6 * syllables / words, 6) AS flesch, round(0.39 * words / sentences + 11.8 * syllables / words - 15.59, 6) AS fk_grade, round(0.4 * (words / sentences + 100 * long_words / words), 6) AS fog,
-round(4.71 * letters / words + 0.5 * words / sentences - 21.43, 6) AS ari, round(5.88 * letters / words - 29.6 * sentences / words - 15.8, 6) AS coleman_liau, CASE WHEN sentences >= 30 THEN round(1.043 * sqrt(long_words * 30 / sentences) + 3.1291, 6) END AS smog FROM c""")
+round(4.71 * letters / words + 0.5 * words / sentences - 21.43, 6) AS ari, round(5.88 * letters / words - 29.6 * sentences / words - 15.8, 6) AS coleman_liau, CASE WHEN sentences >= 30 THEN round(1.043 * sqrt(long_words * 30 / sentences) + 3.1291, 6) END AS smog FROM c""", prelude=ENGLISH)
 def readability_indices(spark, sf_dir):
     return _readability(spark, sf_dir).select("work_id", "flesch", "fk_grade", "fog", "ari", "coleman_liau", "smog")
 
@@ -412,7 +410,7 @@ def rare_tail(spark, sf_dir):
     return statistics.top_terms(base.words(spark, sf_dir), ["work_id"], 25, descending=False)
 
 
-@_query("SELECT work_id, round(avg(value) FILTER (NOT is_stopword) - avg(value), 6) AS delta FROM e GROUP BY work_id")
+@_query("SELECT work_id, round(avg(value) FILTER (NOT is_stopword) - avg(value), 6) AS delta FROM e GROUP BY work_id", prelude=ENGLISH)
 def stopword_sensitivity(spark, sf_dir):
     e = base.evidence(spark, sf_dir, "en")
     return e.groupBy("work_id").agg((F.avg(F.when(~F.col("is_stopword"), F.col("value"))) - F.avg("value")).alias("delta"))
@@ -452,14 +450,14 @@ def corpus_category_profiles(spark, sf_dir):
     return corpus.category_prevalence(base.read(spark, sf_dir, "labels").select(F.col("toxic").cast("string").alias("category")))
 
 
-@_query(""" , x AS (SELECT work_id, tag, avg(value) AS a, avg(value) FILTER (NOT is_stopword) AS b FROM e GROUP BY ALL) SELECT work_id, tag, round(a, 6) AS value_a, round(b, 6) AS value_b, round(b - a, 6) AS delta, round(abs(b - a), 6) AS absolute FROM x""")
+@_query(""" , x AS (SELECT work_id, tag, avg(value) AS a, avg(value) FILTER (NOT is_stopword) AS b FROM e GROUP BY ALL) SELECT work_id, tag, round(a, 6) AS value_a, round(b, 6) AS value_b, round(b - a, 6) AS delta, round(abs(b - a), 6) AS absolute FROM x""", prelude=ENGLISH)
 def scenario_deltas(spark, sf_dir):
     e = base.evidence(spark, sf_dir, "en")
     side = lambda v: e.groupBy("work_id", "tag").agg(F.avg(v).alias("value"))
     return corpus.metric_deltas(side(F.col("value")), side(F.when(~F.col("is_stopword"), F.col("value"))), ["work_id", "tag"])
 
 
-@_query(""" , b AS (SELECT form, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS form FROM benchmark) GROUP BY form), a AS (SELECT form, count(*) AS n FROM t GROUP BY form)
+@_query(""" , b AS (SELECT form, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '\\p{L}+'))) AS form FROM benchmark) GROUP BY form), a AS (SELECT form, count(*) AS n FROM t GROUP BY form)
 SELECT coalesce(a.form, b.form) AS form, a.n AS value_a, b.n AS value_b, b.n - a.n AS delta, abs(b.n - a.n) AS absolute FROM a FULL JOIN b ON a.form = b.form""")
 def pair_comparison(spark, sf_dir):
     other = base.read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(base.LETTERS), 0)).alias("w")).groupBy(F.lower("w").alias("form")).agg(F.count("*").alias("value"))
@@ -529,7 +527,7 @@ def archetype_neighbors(spark, sf_dir):
     return features.archetype_neighbors(base.work_means(spark, sf_dir))
 
 
-_Z = """WITH lg AS (SELECT vec_id AS id, label, i AS feature, embedding[i]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(1, 9)) AS i)),
+_Z = """WITH lg AS (SELECT vec_id AS id, label, i AS feature, embedding[i]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
 s AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM lg GROUP BY feature), z AS (SELECT id, label, feature::VARCHAR AS feature, (value - m) / CASE WHEN s <= 1e-12 THEN 1 ELSE s END AS z FROM lg JOIN s USING (feature))"""
 
 
@@ -555,7 +553,7 @@ def centre_distance(spark, sf_dir):
     return features.centre_distance(_z(spark, sf_dir))
 
 
-@_query("""WITH v AS (SELECT vec_id AS id, embedding[1:8]::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.id, b.id AS other, sqrt(list_sum([(x[1] - x[2]) ** 2 for x in list_zip(a.v, b.v)]) / 8) AS distance FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+@_query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.id, b.id AS other, sqrt(list_sum([(x[1] - x[2]) ** 2 for x in list_zip(a.v, b.v)]) / len(a.v)) AS distance FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), other) AS place FROM d) SELECT id, other, round(distance, 6) AS distance, place FROM r WHERE place <= 10""", prelude=False)
 def nearest_works(spark, sf_dir):
     v = base.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
