@@ -32,12 +32,15 @@ def lower_ascii(text: str) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, one of this machine's, which only
+    a local session may use."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -58,12 +61,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table that ``stored`` wrote, once nothing reads them any more."""
+    """Delete the files of a table that ``stored`` wrote, once nothing reads them any more; other files,
+    those outside the shared folder, stay."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    plain = lambda name: new_path(name).toUri().getPath().rstrip("/")
+    root = plain(scratch_root(spark))
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(("file:", scratch_root(spark))) or "://" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+        if plain(folder).startswith(root + "/"):
+            path = new_path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -42,28 +42,51 @@ def mix(x: np.ndarray) -> np.ndarray:
 _GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _GAP_BYTE = re.compile(rb"[\x20\x09-\x0d]")
 _FOLDED = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
-_OF_BYTE = mix(_STEP * (_FOLDED + 1).astype(np.uint64))
+_BASE = int(_STEP | np.uint64(1))
+_TABLES: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, _STEP | np.uint64(1), np.uint64))
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base from 1 on, and of its inverse from 0 on."""
+    if len(_TABLES[0]) < n:
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        down[0] = 1
+        _TABLES[:] = np.cumprod(up), np.cumprod(down)
+    return _TABLES
 
 
-def _bytes_hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word in ``data``: a polynomial in its bytes, A-Z lower-cased, and mixed."""
-    within = ~_GAP[data]
-    edges = np.flatnonzero(np.diff(within, prepend=False, append=False))
-    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+class Alphabet:
+    """What separates words, and the value of each byte: ``folded`` bytes count as their image."""
+
+    def __init__(self, gap: np.ndarray, folded: np.ndarray):
+        self.gap, self.value = gap, mix(_STEP * (folded + 1).astype(np.uint64))
+
+
+#: Words between white space, A-Z lower-cased.
+PLAIN = Alphabet(_GAP, _FOLDED)
+
+
+def bytes_hashed(data: np.ndarray, alphabet: Alphabet = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word in ``data``: a polynomial in its bytes, folded, and mixed.
+    Running sums over all bytes give each word's by a difference, and the inverse power of its start
+    makes it that of the word alone."""
+    inside = ~alphabet.gap[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(data) and inside[0]:
+        edges = np.concatenate([[0], edges])
+    if len(edges) % 2:
+        edges = np.append(edges, len(data))
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
-    sums = np.add.reduceat(_OF_BYTE[data[within]] * _powers(sizes.max())[place], first)
-    return starts, mix(sums + sizes.astype(np.uint64) * _STEP)
+        return starts.astype(np.int64), np.zeros(0, np.uint64)
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(alphabet.value[data] * up[: len(data)], out=sums[1:])
+    return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 
-def hashed_words(column: pa.Array, slice_bytes: int = 1 << 21) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a column of texts as hashes, some texts at a time.
+def hashed_words(column: pa.Array, slice_bytes: int = 1 << 18, alphabet: Alphabet = PLAIN) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of a column of texts, ``[^\\x20\\x09-\\x0D]+`` or those of another alphabet, as hashes, some texts at a time.
 
     Yields the first text's number, the texts' UTF-8 joined by spaces, where each of them starts in it
     (and one more), where each word starts, and its hash.  Texts are never cut between two slices; a
@@ -80,7 +103,7 @@ def hashed_words(column: pa.Array, slice_bytes: int = 1 << 21) -> Iterator[tuple
         while at < len(joined):
             gap = _GAP_BYTE.search(joined, at + slice_bytes)
             end = gap.start() if gap else len(joined)
-            found, values = _bytes_hashed(np.frombuffer(joined, np.uint8, end - at, at))
+            found, values = bytes_hashed(np.frombuffer(joined, np.uint8, end - at, at), alphabet)
             starts.append(found + at)
             hashes.append(values)
             at = end
