@@ -1,6 +1,6 @@
 """Names of all queries of the library, and the DuckDB SQL that gives the same rows."""
 
-from .plans import score_queries
+from .plans import review_queries, score_queries, sound_queries
 from .plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "score_queries"]
+__all__ = ["ORACLES", "QUERIES", "review_queries", "score_queries", "sound_queries"]
