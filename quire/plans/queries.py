@@ -548,24 +548,73 @@ def poet_centroids(spark, sf_dir):
     return features.centroids(_z(spark, sf_dir), groups)
 
 
-@_query(_Z + " SELECT id, round(sqrt(avg(z * z)), 6) AS distance, count(*) AS features FROM z GROUP BY id", prelude=False)
+#: The elements of the embeddings stand for features in seven groups.
+_GROUPS = {str(i): f"g{i % 7}" for i in range(1, 65)}
+_W = ", ww AS (SELECT i::VARCHAR AS feature, 1 / 7 / count(*) OVER (PARTITION BY i % 7) AS w FROM (SELECT unnest(range(1, 65)) AS i))"
+
+
+def _vectors(spark, sf_dir):
+    e = base.read(spark, sf_dir, "embeddings")
+    return features.standard_vectors(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+
+
+def _weights(rows):
+    """Weights of as many features as the vectors have."""
+    size = rows.select(F.max(F.size("z"))).first()[0]
+    return list(features.feature_weights({str(i): _GROUPS.get(str(i), f"g{i % 7}") for i in range(1, (size or 0) + 1)}).values())
+
+
+@_query("SELECT i::VARCHAR AS feature, 'g' || i % 7 AS grp, round(1 / 7 / count(*) OVER (PARTITION BY i % 7), 6) AS weight FROM (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i)", prelude=False)
+def feature_weights(spark, sf_dir):
+    size = base.read(spark, sf_dir, "embeddings").select(F.max(F.size("embedding"))).first()[0]
+    groups = {str(i): f"g{i % 7}" for i in range(1, size + 1)}
+    return spark.createDataFrame([(f, groups[f], w) for f, w in features.feature_weights(groups).items()], "feature string, grp string, weight double")
+
+
+@_query(_Z + _W + " SELECT id, round(sqrt(sum(w * z * z) / sum(w)), 6) AS distance, count(*) AS features, round(sum(w), 6) AS weight FROM z JOIN ww USING (feature) GROUP BY id", prelude=False)
 def centre_distance(spark, sf_dir):
-    return features.centre_distance(_z(spark, sf_dir))
+    rows = _vectors(spark, sf_dir)
+    return features.centre_distance(rows, _weights(rows))
 
 
-@_query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.id, b.id AS other, sqrt(list_sum([(x[1] - x[2]) ** 2 for x in list_zip(a.v, b.v)]) / len(a.v)) AS distance FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), other) AS place FROM d) SELECT id, other, round(distance, 6) AS distance, place FROM r WHERE place <= 10""", prelude=False)
+_NEAR = _Z + _W + """, zl AS (SELECT id, any_value(label) AS label, list(z ORDER BY feature::INT) AS v FROM z GROUP BY id), wl AS (SELECT list(w ORDER BY feature::INT) AS w FROM ww), d AS (SELECT a.id, b.id AS other, a.label AS la, b.label AS lb, sqrt(list_sum([x[3] * (x[1] - x[2]) ** 2 for x in list_zip(a.v, b.v, wl.w)]) / list_sum(wl.w)) AS distance, list_sum(wl.w) AS shared_weight FROM zl a JOIN zl b ON a.id % 100 = 0 AND a.id <> b.id, wl),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), other) AS place FROM d)"""
+
+
+def _nearest(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return features.nearest(rows.filter("id % 100 = 0"), rows, _weights(rows))
+
+
+@_query(_NEAR + " SELECT id, other, round(distance, 6) AS distance, round(shared_weight, 6) AS shared_weight, place FROM r WHERE place <= 10", prelude=False)
 def nearest_works(spark, sf_dir):
-    v = base.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return features.nearest(v.filter("id % 100 = 0"), v)
+    return _nearest(spark, sf_dir)
+
+
+@_query(_NEAR + ", g AS (SELECT la AS collection, lb AS poet, avg(distance) AS distance, count(DISTINCT id) AS works FROM r WHERE place <= 10 GROUP BY la, lb) SELECT collection, poet, round(distance, 6) AS distance, works, row_number() OVER (PARTITION BY collection ORDER BY round(distance, 9), poet) AS place FROM g", prelude=False)
+def collection_neighbors(spark, sf_dir):
+    """Labels stand for poets, and for the collections of the queries."""
+    labels = base.read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return features.collection_neighbors(_nearest(spark, sf_dir), labels.select(F.col("vec_id").alias("other"), F.col("label").alias("poet")), labels.select(F.col("vec_id").alias("id"), F.col("label").alias("collection")))
 
 
 @_query(None)
 def weighted_pca(spark, sf_dir):
-    return features.principal_components(base.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")))
+    """Loadings of two components and the share of the variance that each explains."""
+    rows = _vectors(spark, sf_dir)
+    loadings, explained = features.principal_components(rows, _weights(rows))
+    return spark.createDataFrame([(str(i + 1), k + 1, float(loadings[i, k]), float(explained[k])) for i in range(len(loadings)) for k in range(loadings.shape[1])], "feature string, component int, loading double, explained double")
 
 
 @_query(None)
+def project_points(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    weights = _weights(rows)
+    return features.project(rows, weights, features.principal_components(rows, weights)[0])
+
+
+@_query(_Z + """, x AS (SELECT id, feature, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t, exp(-z * z / 2) AS e FROM z), y AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * e AS tail FROM x)
+SELECT id, feature, round(z, 6) AS z, round(CASE WHEN z >= 0 THEN 1 - tail / 2 ELSE tail / 2 END, 6) AS percentile FROM y""", prelude=False)
 def feature_percentiles(spark, sf_dir):
     return _z(spark, sf_dir).withColumn("percentile", features.normal_percentile(F.col("z")))
 
