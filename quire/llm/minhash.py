@@ -7,22 +7,29 @@ independent bands of 2 * width would take.  With 16 collections of 3, two sets o
 all 120 tables with a probability of 0.0002, and of 0.85 with 0.00001.
 
 Documents with equal sets are one class from the start.  Classes that share a table key are candidates,
-and a link counts only if the full sets confirm it.  No bucket is expanded into all its pairs: in rounds,
-the most central members of each bucket (those that share most keys with others) are compared with the
-members that aren't connected to them yet, and the number of centres grows sixteenfold until every bucket is one
-component or every pair of its members in different components has been compared.  Skipping pairs that
-are connected already changes no component.  There is no cap on buckets or candidates.
-
-From the second centre on, the join of a bucket's members also looks at parities: each set carries, for each of
-``PARITIES`` groups of shingles, whether it has an odd number of them.  Two sets differ in at least as many
-shingles as groups, so the groups in which they differ rule out, without error, most pairs below the limit that
-meet in a bucket because they share a long passage.  Sets of several thousand shingles fill all groups
-and are verified in full instead.
+and a link counts only if the full sets confirm it.  Skipping pairs that are connected already changes no
+component, so links are looked for in three steps, each on what the one before has left apart:
+
+1. each class and the centre that it shares most buckets with (a bucket's centre is its least class, found by
+   partial minima before the shuffle, so a bucket of any size reaches its reducer as a row a task);
+2. all pairs of a bucket of at most ``small`` classes, and each class and the centre in a larger one;
+3. the classes of larger buckets that are still not one component: an exact set-similarity join of
+   their full sets (``setjoin``), whose rarest-first prefixes don't meet on the passage that brought
+   dissimilar texts into one bucket.
+
+So no bucket is expanded into all its pairs, and there is no cap on buckets or candidates.  Joins on keys
+have one row a key on one side, and adaptive execution splits a hot key on the other.
+
+Before full sets travel, parities are compared: each set carries, for each of ``PARITIES`` groups of shingles,
+whether it has an odd number of them.  Two sets differ in at least as many shingles as groups, so the groups
+in which they differ rule out, without error, most pairs below the limit that meet because they share a
+long passage.  Sets of several thousand shingles fill all groups and are verified in full instead.
 
 Edge cases: a text without words (or null) has no set, links with nothing and stays.  Fewer words than
 ``size`` make one shingle.  Rows with the same id and set belong to one class, and all rows with a
-component's least id are kept; null ids never name a component unless it has no other.  Extra columns
-are ignored.  Classes are named by 64 bits of the set's 128-bit digest.
+component's least id are kept; null ids never name a component unless it has no other.  ``drop_near_copies``
+keeps one row of each component, the first by id and text, and of rows that agree in both one.  Extra
+columns are ignored, or carried by ``drop_near_copies``.  Classes are named by 64 bits of the set's 128-bit digest.
 """
 
 from __future__ import annotations
@@ -35,16 +42,17 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import setjoin
 from ._shared import drop_stored, stored
 from .components import components
 from .hashing import hashed_words, mix, shingles, signed
 
 #: Groups of shingles whose parities a set carries, 64 in a column.
 PARITIES = 1024
-_PARITY_COLUMNS = [f"p{i}" for i in range(PARITIES // 64)]
+_COLUMNS = [f"p{i}" for i in range(PARITIES // 64)]
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -95,7 +103,7 @@ def document_sets(docs: DataFrame, size: int, parts: int, width: int, seed: int)
 
 
 def _table_rows(classes: DataFrame, parts: int) -> DataFrame:
-    """(key, v, n): a row for each class and table, the key combined from a pair of collections."""
+    """(key, v): a row for each class and table, the key combined from a pair of collections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = (np.array(x) for x in zip(*combinations(range(parts), 2)))
@@ -104,10 +112,9 @@ def _table_rows(classes: DataFrame, parts: int) -> DataFrame:
                 batch = whole.slice(lo, 2000)
                 keys = np.asarray(batch.column("keys").flatten()).reshape(-1, parts).view(np.uint64)
                 paired = mix(mix(keys[:, left]) + keys[:, right] * np.uint64(0x9E3779B97F4A7C15))
-                again = lambda c: np.repeat(np.asarray(batch.column(c)), len(left))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(paired.ravel())), pa.array(again("v")), pa.array(again("n").astype(np.int32))], names=["key", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(paired.ravel())), pa.array(np.repeat(np.asarray(batch.column("v")), len(left)))], names=["key", "v"])
 
-    return classes.select("keys", "v", "n").mapInArrow(run, "key bigint, v bigint, n int")
+    return classes.select("keys", "v").mapInArrow(run, "key bigint, v bigint")
 
 
 def _parities(values: np.ndarray) -> list[int]:
@@ -157,44 +164,87 @@ def _shared_count(a: np.ndarray, b: np.ndarray) -> int:
     return np.count_nonzero(a[at] == b)
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, parts: int = 16, width: int = 3, seed: int = 11) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def _possible(x: str, y: str, percent: int) -> Column:
+    """Whether the sizes and parities of two rows, their columns prefixed by ``x`` and ``y``, allow the similarity."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    differ = reduce(add, [F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in _COLUMNS])
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
+def _side(rows: DataFrame, x: str, *keep: str) -> DataFrame:
+    return rows.select(*keep, *[F.col(c).alias(x + c) for c in rows.columns if c not in keep])
+
+
+def _apart(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose sizes and parities allow the similarity.  ``sizes``: v, n, parities."""
+    side = lambda x: _side(sizes.withColumnRenamed("v", x), x, x).hint("shuffle_merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_possible("a", "b", percent)).select("a", "b")
+
+
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with the label of v: its component so far."""
+    if labels is None:
+        return rows.withColumn("label", F.col("v"))
+    return rows.join(labels.hint("shuffle_merge"), "v", "left").withColumn("label", F.coalesce("root", "v")).drop("root")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that have more than one label."""
+    several = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most")
+    return rows.join(several.select("key").hint("shuffle_merge"), "key")
+
+
+def _components(docs: DataFrame, size: int, percent: int, parts: int, width: int, seed: int, small: int) -> DataFrame:
+    """doc_id, print, n_shingles, root of every row; no root where there is no set."""
     members = stored(document_sets(docs, size, parts, width, seed), "sets")
     classes = members.filter("v is not null").groupBy("v").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "print")).alias("at"))
 
-    # one shuffle and sort brings the members of each bucket together; only buckets of several remain
-    same_key = Window.partitionBy("key")
-    rows = _table_rows(classes, parts).withColumn("many", F.count("*").over(same_key)).filter("many > 1")
-    rows = stored(rows, "buckets")
-    central = stored(rows.groupBy("v").agg(F.sum("many").alias("weight")), "central")
-    ranked = rows.join(central.hint("shuffle_merge"), "v")
-    ranked = stored(ranked.select("key", "v", "n", F.row_number().over(same_key.orderBy(F.desc("weight"), "v")).alias("rank")), "ranked")
-    drop_stored(rows)
-    chosen = classes.select("v", "at.doc_id", "at.print").join(central.select("v").hint("shuffle_merge"), "v", "left_semi")
+    rows = _table_rows(classes, parts).select("key", "v")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("v").alias("centre")).filter("many > 1")
+    rows = stored(rows.join(buckets.hint("shuffle_merge"), "key"), "buckets")
+    chosen = classes.select("v", "at.doc_id", "at.print").join(rows.select("v").distinct().hint("shuffle_merge"), "v", "left_semi")
     sets = stored(_full_sets(docs, chosen, size), "full-sets")
-
-    labels, low, high, best_only = None, 1, 2, True
-    while True:
-        pairs = stored(_round(ranked, labels, low, high, best_only, percent), "pairs")
-        if not pairs.isEmpty():
-            confirmed = stored(_confirmed(pairs, sets, percent), "confirmed")
-            labels = _merged(labels, confirmed)
-        if best_only:  # the same centres again, for members that their best centre didn't connect
-            best_only = False
-            continue
-        rows = ranked.withColumn("label", F.col("v")) if labels is None else _labelled(ranked, labels)
-        seen = rows.select("*", F.min("label").over(same_key).alias("l"), F.max("label").over(same_key).alias("h"), F.max("rank").over(same_key).alias("last"))
-        ranked = seen.filter((F.col("l") != F.col("h")) & (F.col("last") > high)).select(*ranked.columns)
-        if low == 1:
-            parities = sets.select("v", *[F.col("parities")[i].alias(c) for i, c in enumerate(_PARITY_COLUMNS)])
-            ranked = ranked.join(parities.hint("shuffle_merge"), "v")
-        ranked = stored(ranked, "ranked")
-        if ranked.isEmpty():
-            break
-        low, high = high, 16 * high
-
-    roots = labels if labels is not None else members.limit(0).select(F.col("v"), F.col("v").alias("root"))
-    named = members.join(roots.hint("shuffle_merge"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    sizes = sets.select("v", (F.octet_length("set") / 8).cast("int").alias("n"), *[F.col("parities")[i].alias(c) for i, c in enumerate(_COLUMNS)])
+
+    def merged(pairs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        possible = stored(_apart(pairs, sizes, percent), "pairs")
+        return labels if possible.isEmpty() else _merged(labels, stored(_confirmed(possible, sets, percent), "confirmed"))
+
+    counted = rows.filter("v <> centre").groupBy("v", "centre").agg(F.count("*").alias("keys"))
+    best = counted.groupBy("v").agg(F.max_by("centre", F.struct("keys", "centre")).alias("centre"))
+    labels = merged(_pairs(best, "v", "centre"), None)
+
+    mixed = stored(_mixed(_labelled(rows, labels)), "mixed")
+    few, many = mixed.filter(F.col("many") <= small), mixed.filter(F.col("many") > small)
+    few = stored(few.select("key", "v", "label").join(sizes.hint("shuffle_merge"), "v"), "few")
+    within = _side(few, "x", "key").hint("shuffle_merge").join(_side(few, "y", "key"), "key")
+    within = within.filter((F.col("xv") < F.col("yv")) & (F.col("xlabel") != F.col("ylabel")) & _possible("x", "y", percent)).select(F.col("xv").alias("a"), F.col("yv").alias("b"))
+    centres = many.filter("v = centre").select("key", F.col("label").alias("lc"))
+    to_centre = _pairs(many.join(centres.hint("shuffle_merge"), "key").filter("label <> lc"), "v", "centre")
+    labels = merged(within.union(to_centre).distinct(), labels)
+
+    left = stored(_mixed(_labelled(many.drop("label"), labels)).select("v", "label").distinct(), "left")
+    if not left.isEmpty():
+        held = sets.select("v", "set").join(left.select("v").hint("shuffle_merge"), "v", "left_semi")
+        counts = setjoin.collected_counts(setjoin.word_counts(held, setjoin.read_packed, 1 << 22), 1 << 22)
+        exact = setjoin.Join(held, setjoin.read_packed, counts, percent, common=1 << 31)
+        labels = merged(exact.candidates(exact.prefixes(), left), labels)
+
+    roots = labels if labels is not None else members.limit(0).select("v", F.col("v").alias("root"))
+    named = members.join(roots.hint("shuffle_merge"), "v", "left").select("doc_id", "print", "n_shingles", F.coalesce("root", "v").alias("root"))
+    named = stored(named, "named")
+    for table in (rows, sets, mixed, few, members):
+        drop_stored(table)
+    return named
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, parts: int = 16, width: int = 3, seed: int = 11, small: int = 32) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    named = _components(docs, size, percent, parts, width, seed, small)
     least = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     whole = named.join(least.hint("shuffle_merge"), "root", "left")
     component = F.coalesce("component_id", "doc_id")
@@ -215,28 +265,11 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return stored(moved.select("v", F.coalesce("to", "root").alias("root")).union(new.select("v", "root")), "labels")
 
 
-def _labelled(ranked: DataFrame, labels: DataFrame) -> DataFrame:
-    return ranked.join(labels.hint("shuffle_merge"), "v", "left").withColumn("label", F.coalesce("root", "v")).drop("root")
-
-
-def _round(ranked: DataFrame, labels: DataFrame | None, low: int, high: int, best_only: bool, percent: int) -> DataFrame:
-    """Pairs (a, b) of a centre, of rank low to high - 1 in a bucket, and a later member of it in another
-    component whose size allows the similarity; each pair once, or each member's most frequent only."""
-    rows = ranked.withColumn("label", F.col("v")) if labels is None else _labelled(ranked, labels)
-    held = [c for c in _PARITY_COLUMNS if c in rows.columns]
-    centres = rows.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la"), *[F.col(c).alias("c" + c) for c in held])
-    met = centres.hint("shuffle_merge").join(rows, "key").filter((F.col("rank") > F.col("ra")) & (F.col("la") != F.col("label")))
-    met = met.filter(100 * F.least("n", "na") >= percent * F.greatest("n", "na"))
-    if held:
-        differ = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col("c" + c))) for c in held])
-        met = met.filter((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("na")))
-    pairs = met.groupBy(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).agg(F.count("*").alias("keys"))
-    if not best_only:
-        return pairs.select("a", "b")
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
-
-
-def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each component."""
-    kept = near_groups(docs, size, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, **settings) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each component and for each text without a set."""
+    named = _components(docs, size, percent, **({"parts": 16, "width": 3, "seed": 11, "small": 32} | settings))
+    first = named.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("at"))
+    kept = first.select("at.doc_id", "at.print").union(named.filter("root is null").select("doc_id", "print").distinct())
+    d, k = docs.withColumn("_print", F.xxhash64("text")).alias("d"), kept.hint("shuffle_merge").alias("k")
+    stay = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._print") == F.col("k.print")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_print"]).drop("_print")

@@ -62,6 +62,40 @@ def test_groups(spark, size):
     assert sorted(map(tuple, near_groups(docs, size, parts=24).collect()), key=str) == brute(rows, size)
 
 
+def test_large_buckets_of_dissimilar_texts(spark):
+    """Many texts share a long passage, so that they meet in buckets; only some of them are near copies, and
+    not of the bucket's centre.  Buckets of more than two go through the exact join."""
+    r = random.Random(3)
+    passage = [f"common{i}" for i in range(60)]
+    rows = []
+    for g in range(40):
+        own = [f"g{g}x{i}" for i in range(r.randint(18, 60))]
+        for c in range(r.choice([1, 1, 2, 3])):
+            copy = list(own)
+            copy[r.randrange(len(copy))] = f"edit{g}y{c}"
+            rows.append((len(rows), " ".join(passage + copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for small in (2, 32):
+        assert sorted(map(tuple, near_groups(docs, 2, parts=24, small=small).collect()), key=str) == brute(rows, 2)
+
+
+def test_one_row_of_each_group_stays(spark):
+    w = " ".join(f"w{i}" for i in range(40))
+    rows = [(0, w), (1, "another text " * 9), (1, w + " end"), (None, w + " tail"), (5, None), (5, None), (6, ""), (1, w + " end")]
+    got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(0, w), (1, "another text " * 9), (5, None), (6, "")], key=str)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(8)
+    words = [f"t{r.randint(0, 10**6)}" for _ in range(60_000)]
+    other = list(words)
+    for i in range(0, 60_000, 100):
+        other[i] = "changed"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:30_000]))], "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in near_groups(docs, 2).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_empty_and_no_links(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "u v w x y z")], "doc_id long, text string")
     assert near_groups(docs.limit(0)).count() == 0
