@@ -1,6 +1,6 @@
 """Names of all queries of the library, and the DuckDB SQL that gives the same rows."""
 
-from .plans import feature_queries, review_queries, score_queries, sound_queries
+from .plans import feature_queries, form_queries, review_queries, score_queries, sound_queries
 from .plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "feature_queries", "review_queries", "score_queries", "sound_queries"]
+__all__ = ["ORACLES", "QUERIES", "feature_queries", "form_queries", "review_queries", "score_queries", "sound_queries"]
