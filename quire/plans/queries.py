@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio, rounded, strip_edges, summary, syllables
+from ..functions.columns import normal_form, ratio, rounded, strip_edges, summary, syllables
 from ..operators import corpus, features, matching, sound, statistics, structure
 from ..sources import files
 from . import base
@@ -79,10 +79,16 @@ def _surface_lexicon(spark, sf_dir):
     return base.words(spark, sf_dir).select("surface").distinct().select(F.lit("a").alias("lexicon"), F.col("surface").alias("term"), (base.digit("surface", 1, 4) / 65535 * 1.2).alias("value"))
 
 
-@_query(f""", {_SURFACES}, k AS (SELECT lexicon, lower(term) AS key, count(*) AS n, count(DISTINCT term) AS s, count(*) FILTER (value > 1 OR value < 0) AS o FROM l GROUP BY ALL)
-SELECT lexicon, sum(n)::BIGINT AS total, count(*) AS entries, 0::BIGINT AS blank, 0::BIGINT AS malformed, sum(o)::BIGINT AS out_of_range, count(*) FILTER (n > 1) AS duplicate_keys, count(*) FILTER (s > 1) AS case_collisions, 0::BIGINT AS phrases FROM k GROUP BY lexicon""")
+#: One term in thirty-two is blank, one in eight a phrase, one in sixteen has no value.
+_RAW = """raw AS (SELECT lexicon, CASE WHEN ('0x' || substr(md5(term), 9, 2))::INT < 8 THEN ' ' WHEN ('0x' || substr(md5(term), 11, 1))::INT < 2 THEN term || ' x' ELSE term END AS term, CASE WHEN ('0x' || substr(md5(term), 12, 1))::INT > 0 THEN value END AS value FROM l)"""
+
+
+@_query(f""", {_SURFACES}, {_RAW}, k AS (SELECT lexicon, lower(trim(term)) AS key, count(*) AS n, count(DISTINCT term) AS s, count(*) FILTER (value > 1 OR value < 0) AS o, count(*) FILTER (trim(term) = '') AS b, count(*) FILTER (value IS NULL) AS m FROM raw GROUP BY ALL)
+SELECT lexicon, sum(n)::BIGINT AS total, count(*) AS entries, sum(b)::BIGINT AS blank, sum(m)::BIGINT AS malformed, sum(o)::BIGINT AS out_of_range, count(*) FILTER (n > 1) AS duplicate_keys, count(*) FILTER (s > 1) AS case_collisions, count(*) FILTER (contains(key, ' '))::BIGINT AS phrases FROM k GROUP BY lexicon""")
 def lexicon_validation(spark, sf_dir):
-    return files.lexicon_validation(_surface_lexicon(spark, sf_dir), 0.0, 1.0)
+    rows = _surface_lexicon(spark, sf_dir)
+    term = F.when(base.digit("term", 9, 2) < 8, " ").when(base.digit("term", 11, 1) < 2, F.concat("term", F.lit(" x"))).otherwise(F.col("term"))
+    return files.lexicon_validation(rows.select("lexicon", term.alias("term"), F.when(base.digit("term", 12, 1) > 0, F.col("value")).alias("value")), 0.0, 1.0)
 
 
 @_query(f", {_SURFACES} SELECT lexicon, term, round(value, 6) AS value, round((value - 1) / 8, 6) AS normalized FROM l")
@@ -124,14 +130,25 @@ def strip_line_edges(spark, sf_dir):
     return structure.strip_line_edges(base.works(spark, sf_dir)).select("work_id", "text")
 
 
-@_query("SELECT work_id, pos, line_no, line_pos, surface, form FROM t")
+#: The library's own tokens: words with inner apostrophes, and each other mark that isn't white space.
+_TOKENS = """tt AS (SELECT work_id, line_no, j AS line_pos, ws[j] AS surface, lower(translate(ws[j], '‘’ʼ＇', repeat(chr(39), 4))) AS form FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS j FROM (SELECT *, regexp_extract_all(line, '[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)*|[^\\s\\p{L}\\p{N}]') AS ws FROM ln))),
+tw AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY line_no, line_pos) AS pos, NOT regexp_matches(surface, '[\\p{L}\\p{N}]') AS is_punct, regexp_matches(surface, '^[0-9]+$') AS is_numeric, regexp_matches(surface, '^\\p{L}+$') AS is_alpha FROM tt)"""
+
+
+def _tokens(spark, sf_dir):
+    return structure.work_tokens(base.works(spark, sf_dir))
+
+
+@_query(f", {_TOKENS} SELECT work_id, pos, line_no, line_pos, surface, form, is_punct, is_numeric, is_alpha FROM tw")
 def tokens(spark, sf_dir):
-    return base.words(spark, sf_dir)
+    return _tokens(spark, sf_dir).drop("bare")
 
 
-@_query("SELECT DISTINCT form, form AS bare FROM t")
+@_query("SELECT word, lower(trim(translate(word, '‘’ʼ＇', repeat(chr(39), 4)))) AS form, regexp_replace(lower(trim(translate(word, '‘’ʼ＇', repeat(chr(39), 4)))), '^\\p{P}+|\\p{P}+$', '', 'g') AS bare FROM (SELECT DISTINCT unnest(string_split_regex(text, '[ \\n]+')) AS word FROM wk)")
 def normalise_form(spark, sf_dir):
-    return base.words(spark, sf_dir).select("form", strip_edges(F.col("form")).alias("bare")).distinct()
+    """Of everything between white space, so that edges, marks and apostrophes occur."""
+    words = base.works(spark, sf_dir).select(F.explode(F.split("text", "[ \\n]+")).alias("word")).distinct()
+    return words.select("word", normal_form(F.col("word")).alias("form"), strip_edges(normal_form(F.col("word"))).alias("bare"))
 
 
 @_query("SELECT work_id, pos, tag, lemma FROM e")
@@ -139,9 +156,11 @@ def annotate_pos_lemma(spark, sf_dir):
     return base.tagged(spark, sf_dir).select("work_id", "pos", "tag", "lemma")
 
 
-@_query("SELECT work_id, CASE WHEN is_content THEN 'content' WHEN tag IN ('DET', 'PRON', 'ADP') THEN 'function' ELSE 'other' END AS role, count(*) AS tokens FROM e GROUP BY ALL")
+@_query(f", {_TOKENS} SELECT work_id, CASE WHEN is_punct THEN 'non-lexical' WHEN tag IN ('NOUN', 'VERB', 'ADJ', 'ADV') THEN 'content' WHEN tag IN ('DET', 'PRON', 'ADP') THEN 'function' ELSE 'other' END AS role, count(*) AS tokens FROM tw LEFT JOIN tg USING (form) GROUP BY ALL")
 def token_role(spark, sf_dir):
-    return structure.token_role(base.tagged(spark, sf_dir).withColumn("is_punct", F.lit(False))).groupBy("work_id", "role").agg(F.count("*").alias("tokens"))
+    """Of all tokens; those that are no runs of letters have no tag."""
+    tagged = structure.annotate_pos_lemma(_tokens(spark, sf_dir), base.tags(spark, sf_dir))
+    return structure.token_role(tagged).groupBy("work_id", "role").agg(F.count("*").alias("tokens"))
 
 
 _SENTENCES = "sn AS (SELECT work_id, trim(x) AS s FROM (SELECT work_id, unnest(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM wk) WHERE trim(x) <> '')"
@@ -152,9 +171,9 @@ def sentences(spark, sf_dir):
     return structure.sentences(base.works(spark, sf_dir)).groupBy("work_id").agg(F.count("*").alias("sentences"))
 
 
-@_query(f", {_SENTENCES}, c AS (SELECT work_id, count(*) AS sentences FROM sn GROUP BY work_id) SELECT work_id, count(*) AS tokens, count(*) AS lexical_tokens, count(DISTINCT form) AS types, any_value(sentences) AS sentences, 1.0::DOUBLE AS lexical_rate FROM t LEFT JOIN c USING (work_id) GROUP BY work_id")
+@_query(f", {_SENTENCES}, {_TOKENS}, c AS (SELECT work_id, count(*) AS sentences FROM sn GROUP BY work_id) SELECT work_id, count(*) AS tokens, count(*) FILTER (NOT is_punct) AS lexical_tokens, count(DISTINCT form) FILTER (NOT is_punct) AS types, any_value(sentences) AS sentences, round(count(*) FILTER (NOT is_punct) / count(*), 6) AS lexical_rate FROM tw LEFT JOIN c USING (work_id) GROUP BY work_id")
 def processing_coverage(spark, sf_dir):
-    return structure.processing_coverage(base.words(spark, sf_dir).withColumn("is_punct", F.lit(False)), structure.sentences(base.works(spark, sf_dir)))
+    return structure.processing_coverage(_tokens(spark, sf_dir), structure.sentences(base.works(spark, sf_dir)))
 
 
 def _words_table(spark, words):
