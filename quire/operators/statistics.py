@@ -112,23 +112,29 @@ def diversity(token_rows: DataFrame, window: int = 50, draws: int = 42) -> DataF
 
 
 def mtld(token_rows: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """Mean of forward and reverse factor lengths; an ordered fold over a work's forms."""
+    """Mean of forward and reverse factor lengths; ``pos`` counts a work's tokens from 1.  A form is new in a factor if its last place stands before the factor's
+    start, so the fold over a work carries three numbers and takes time in proportion to its tokens."""
 
-    def one_way(forms):
-        zero = F.struct(F.lit(0.0).alias("factors"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"))
+    def one_way(places):
+        zero = F.struct(F.lit(0.0).alias("factors"), F.lit(1).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("types"))
 
-        def step(acc, form):
-            seen = F.when(F.array_contains(acc["seen"], form), acc["seen"]).otherwise(F.concat(acc["seen"], F.array(form)))
-            n = acc["n"] + 1
-            full = F.size(seen) / n <= threshold
-            return F.when(full, F.struct((acc["factors"] + 1).alias("factors"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"))).otherwise(F.struct(acc["factors"].alias("factors"), n.alias("n"), seen.alias("seen")))
+        def step(acc, x):
+            n, types = acc["n"] + 1, acc["types"] + (x["prev"] < acc["start"]).cast("int")
+            full = types / n <= threshold
+            return F.when(full, F.struct((acc["factors"] + 1).alias("factors"), (x["at"] + 1).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("types"))).otherwise(F.struct(acc["factors"].alias("factors"), acc["start"].alias("start"), n.alias("n"), types.alias("types")))
 
-        end = F.aggregate(forms, zero, step)
-        rest = F.when(end["n"] > 0, (1 - F.size(end["seen"]) / end["n"]) / (1 - threshold)).otherwise(0.0)
-        return F.size(forms) / F.nullif(end["factors"] + rest, F.lit(0.0))
+        def length(end):
+            rest = F.when(end["n"] > 0, (1 - end["types"] / end["n"]) / (1 - threshold)).otherwise(0.0)
+            return F.col("n") / F.nullif(end["factors"] + rest, F.lit(0.0))
 
-    works = token_rows.groupBy("work_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]).alias("forms"))
-    return works.select("work_id", F.size("forms").alias("tokens"), ((one_way(F.col("forms")) + one_way(F.reverse("forms"))) / 2).alias("mtld"))
+        return F.aggregate(places, zero, step, length)
+
+    same = Window.partitionBy("work_id", "form").orderBy("pos")
+    rows = token_rows.select("work_id", F.col("pos").cast("int").alias("pos"), F.coalesce(F.lag("pos").over(same), F.lit(0)).cast("int").alias("before"), F.lead("pos").over(same).cast("int").alias("after"))
+    works = rows.groupBy("work_id").agg(F.array_sort(F.collect_list(F.struct("pos", "before", "after"))).alias("p")).withColumn("n", F.size("p"))
+    forward = F.transform("p", lambda x: F.struct(x["pos"].alias("at"), x["before"].alias("prev")))
+    backward = F.transform(F.reverse("p"), lambda x: F.struct((F.col("n") + 1 - x["pos"]).alias("at"), F.coalesce(F.col("n") + 1 - x["after"], F.lit(0)).alias("prev")))
+    return works.select("work_id", F.col("n").alias("tokens"), ((one_way(forward) + one_way(backward)) / 2).alias("mtld"))
 
 
 def readability(words: DataFrame, sentence_counts: DataFrame) -> DataFrame:

@@ -383,7 +383,14 @@ def hdd(spark, sf_dir):
     return statistics.diversity(base.words(spark, sf_dir)).select("work_id", "hdd")
 
 
-@_query(None)
+_FOLD = lambda items: f"""list_reduce(list_prepend({{'f': 0.0::DOUBLE, 's': 0::BIGINT, 'n': 0::BIGINT, 't': 0::BIGINT, 'i': -1::BIGINT, 'p': -1::BIGINT}}, {items}), lambda a, x: CASE WHEN (a.t + (x.p < a.s)::BIGINT) / (a.n + 1) <= 0.72 THEN {{'f': a.f + 1, 's': x.i + 1, 'n': 0::BIGINT, 't': 0::BIGINT, 'i': x.i, 'p': x.p}} ELSE {{'f': a.f, 's': a.s, 'n': a.n + 1, 't': a.t + (x.p < a.s)::BIGINT, 'i': x.i, 'p': x.p}} END)"""
+_ITEM = lambda at, prev: f"{{'f': 0.0::DOUBLE, 's': 0::BIGINT, 'n': 0::BIGINT, 't': 0::BIGINT, 'i': ({at})::BIGINT, 'p': ({prev})::BIGINT}}"
+_LENGTH = lambda e: f"n / nullif({e}.f + CASE WHEN {e}.n > 0 THEN (1 - {e}.t / {e}.n) / (1 - 0.72) ELSE 0 END, 0)"
+
+
+@_query(f""", p AS (SELECT work_id, pos, coalesce(lag(pos) OVER w, 0) AS prev, lead(pos) OVER w AS next, count(*) OVER (PARTITION BY work_id) AS n FROM t WINDOW w AS (PARTITION BY work_id, form ORDER BY pos)),
+g AS (SELECT work_id, any_value(n) AS n, list({_ITEM('pos - 1', 'prev - 1')} ORDER BY pos) AS f, list({_ITEM('n - pos', 'coalesce(n - next, -1)')} ORDER BY pos DESC) AS b FROM p GROUP BY work_id), r AS (SELECT work_id, n, {_FOLD('f')} AS f, {_FOLD('b')} AS b FROM g)
+SELECT work_id, n::INT AS tokens, round(({_LENGTH('f')} + {_LENGTH('b')}) / 2, 6) AS mtld FROM r""")
 def mtld(spark, sf_dir):
     return statistics.mtld(base.words(spark, sf_dir))
 
@@ -687,6 +694,7 @@ def meter_fit(spark, sf_dir):
     return sound.meter_fit(whole)
 
 
-@_query(None)
+@_query(""", p AS (SELECT work_id, line_no, pos, ('0x' || substr(md5(form), 1, 4))::INT / 65535.0 AS v FROM t), q AS (SELECT *, v >= 0.68 AND coalesce(lag(v >= 0.68) OVER w, false) AS clash, sum((v >= 0.42)::INT) OVER w AS island FROM p WINDOW w AS (PARTITION BY work_id, line_no ORDER BY pos)),
+r AS (SELECT work_id, line_no, island, count(*) FILTER (v < 0.42) AS run, count(*) FILTER (clash) AS clashes FROM q GROUP BY work_id, line_no, island) SELECT work_id, line_no, sum(clashes)::BIGINT AS clashes, count(*) FILTER (run >= 3) AS lapses FROM r GROUP BY work_id, line_no""")
 def stress_clash_lapse(spark, sf_dir):
     return sound.stress_clash_lapse(base.words(spark, sf_dir).select("work_id", "line_no", "pos", (base.digit("form", 1, 4) / 65535).alias("prominence")))
