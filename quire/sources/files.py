@@ -55,3 +55,22 @@ def lexicon_normalise(rows: DataFrame, low: float, high: float) -> DataFrame:
 def collision_groups(rows: DataFrame) -> DataFrame:
     """Keys whose source terms differ only by case."""
     return rows.groupBy("lexicon", F.lower("term").alias("lookup_form")).agg(F.countDistinct("term").alias("spellings")).filter("spellings > 1")
+
+
+def scan_vad_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Means, spreads and numbers of raters from a CSV with dotted names: ``Word``, then ``V.Mean``, ``V.SD``, ``V.Rat`` and so on."""
+    raw = spark.read.csv(path, header=True)
+    names = {"V": "valence", "A": "arousal", "D": "dominance"}
+    parts = [F.col(f"`{k}.{part}`").cast(kind).alias(name + end) for k, name in names.items() for part, end, kind in (("Mean", "", "double"), ("SD", "_sd", "double"), ("Rat", "_raters", "int"))]
+    return raw.select(F.lower(F.trim("Word")).alias("term"), *parts)
+
+
+def scan_emotion_tsv(spark: SparkSession, path: str, categories: int) -> DataFrame:
+    """lookup_form, associations from rows term, category, 0 or 1; terms that lack a category are left out."""
+    rows = spark.read.csv(path, sep="\t", schema="lookup_form string, category string, flag int")
+    return regroup_emotions(rows).filter(F.col("rows") == categories)
+
+
+def scan_intensity_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """lookup_form, intensities (map) from rows term, category, score."""
+    return regroup_intensities(spark.read.csv(path, sep="\t", schema="lookup_form string, category string, value double"))
