@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from ._shared import drop_stored, stored
+from ._shared import drop_stored, shuffle_width, stored
 from .components import components
 from .hashing import hashed_words, mix, shingles, signed
 
@@ -203,7 +203,8 @@ def _components(docs: DataFrame, size: int, percent: int, parts: int, width: int
     members = stored(document_sets(docs, size, parts, width, seed), "sets")
     classes = members.filter("v is not null").groupBy("v").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("doc_id", "print")).alias("at"))
 
-    rows = _table_rows(classes, parts).select("key", "v")
+    # dealt anew: adaptive execution makes few partitions of the small classes, and each becomes many rows here
+    rows = _table_rows(classes.repartition(shuffle_width(docs.sparkSession), "v"), parts).select("key", "v")
     buckets = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("v").alias("centre")).filter("many > 1")
     rows = stored(rows.join(buckets.hint("shuffle_merge"), "key"), "buckets")
     chosen = classes.select("v", "at.doc_id", "at.print").join(rows.select("v").distinct().hint("shuffle_merge"), "v", "left_semi")
