@@ -1,65 +1,55 @@
 r"""Line deduplication by an exact set-similarity join.
 
 A line's set is its distinct words (A-Z lower-cased).  Lines with equal sets form a class; a line goes
-when an earlier line of the corpus, in the order of (doc_id, line number), has a Jaccard similarity of
-``percent`` or more, be it in its own class or in another.
+when an earlier line of the corpus, in the order of (doc_id, hash of the text, line number), has a Jaccard
+similarity of ``percent`` or more, be it in its own class or in another.  Classes of different sets are
+joined exactly by ``setjoin``: rarity order, prefix, length and positional filters, verification.
 
-Classes are joined exactly: words are put in one global order, rarest first, by counts over all lines
-(hashed to ``slots`` counters; any fixed order is exact, a rare-first one is fast).  Two sets as similar as
-that share a word of their prefixes, n - ceil(percent * n) + 1 words of n.  Prefix words that occur once
-in the corpus can't be shared and aren't emitted.  Pairs that meet on a prefix word must pass
+One pass over the texts names the lines' classes and counts their words, a second emits prefix words of few
+lines, a third the sets of candidates and of lines with a prefix word of many.  A filter, sized by the
+candidates' number between fixed bounds, names the candidates in the third; one that says yes too often
+costs bytes, not results.
 
-* the length filter,
-* the positional filter: the words after the match can still reach the overlap,
-* a test for the first meeting: each row carries the rarest ``EARLIER`` prefix words that stand before its own, and a
-  pair that shares one of them has met there already,
-* a parity filter: each set carries the parity of its words in 128 bits; two sets differ in at least as
-  many words as their parities in bits, so too many bits rule a pair out,
-
-and the few that remain are verified on the full sets.  Those are read from the texts in place: a filter of
-``filter_bits`` bits, whatever the corpus, says which classes to send; one that says yes too often costs
-bytes, not results.
-
-Nothing is capped: a prefix word in more than ``hot`` lines is salted, its rows dealt to several keys on
-one side of the join and copied to each of them on the other.
+Nothing is capped: a prefix word of more than ``common`` lines (by default the root of the number of lines,
+between fixed bounds) is dealt in blocks, and there only sums leave a task.
 
 Edge cases: null or empty texts have no lines.  Lines without a word are neither compared nor removed.
-Null ids come first in the order.  Rows with the same id are one place each: equal places count as the
-same line, so copies of a whole row treat each other as themselves and stay.  Extra columns are carried
-by ``without_repeated_lines``.  Empty tables give empty results.
+Null ids come first in the order.  Rows with the same id and different texts are documents of their own.
+Rows that agree in id and text are one place each: they count as the same lines, so copies of a whole row
+treat each other as themselves and stay.  Extra columns are carried by ``without_repeated_lines``.  Empty
+tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import shuffle_width, stored
-from .hashing import hashed_words, mix, signed
-
-_SALT = np.uint64(0x5851F42D4C957F2D)
+from . import setjoin
+from ._shared import stored
+from .hashing import hashed_words
 
-#: Prefix words that a row carries at most; pairs of longer prefixes may be met, and verified, more than once.
-EARLIER = 16
+#: Bits of the filters that name candidates, at least and at most.
+FILTER_BITS = (1 << 16, 1 << 28)
+#: Lines with a word, up to which it is a join key.
+COMMON = (512, 32768)
 
 
 class _Lines(NamedTuple):
-    """The lines with a word of some texts: where they stand, and their sets one after the other."""
-
     row: np.ndarray
     number: np.ndarray
-    n: np.ndarray  # distinct words
-    first: np.ndarray  # where a line's set starts in ``words``
-    words: np.ndarray  # distinct word hashes of each line, ascending
-    name: np.ndarray  # of the class: the same for equal sets
+    sets: setjoin.Sets
 
 
-def _line_sets(texts: pa.Array) -> Iterator[_Lines]:
+def _lines(texts: pa.Array) -> Iterator[_Lines]:
+    """The lines with a word: their row, their number in it from 0, and their sets."""
     for lo, joined, bounds, starts, hashes in hashed_words(texts):
         if not len(starts):
             continue
@@ -68,197 +58,115 @@ def _line_sets(texts: pa.Array) -> Iterator[_Lines]:
         number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, bounds)[row]
         opens = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(number) != 0)])
         line = np.cumsum(opens) - 1
-        order = np.lexsort((hashes, line))
-        line, words = line[order], hashes[order]
-        distinct = np.concatenate([[True], (np.diff(line) != 0) | (words[1:] != words[:-1])])
-        line, words = line[distinct], words[distinct]
-        first = np.flatnonzero(np.concatenate([[True], np.diff(line) != 0]))
-        n = np.diff(np.append(first, len(line)))
-        name = mix(np.add.reduceat(mix(words ^ _SALT), first) + n.astype(np.uint64))
-        yield _Lines(row[opens] + lo, number[opens], n, first, words, signed(name))
-
+        row, number = row[opens] + lo, number[opens]
+        for a in range(0, len(row), setjoin.MOST_SETS):
+            some = slice(*np.searchsorted(line, [a, a + setjoin.MOST_SETS]))
+            yield _Lines(row[a : a + setjoin.MOST_SETS], number[a : a + setjoin.MOST_SETS], setjoin.sets_of(line[some] - a, hashes[some]))
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, v): the class of every line with a word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lines in _line_sets(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(lines.name)], names=["doc_id", "line_no", "v"])
+def _read(batch: pa.RecordBatch) -> Iterator[setjoin.Sets]:
+    return (lines.sets for lines in _lines(batch.column("text")))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, line_no int, v bigint")
 
+def _printed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
 
-def word_frequencies(docs: DataFrame, slots: int) -> np.ndarray:
-    """Lines that hold a word, counted in hashed slots; ``slots`` sums come to the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
-        for batch in batches:
-            for lines in _line_sets(batch.column("text")):
-                total += np.bincount((lines.words % np.uint64(slots)).astype(np.int64), minlength=slots)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["slot", "n"])
-
-    got = docs.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    found = np.zeros(slots, np.int64)
-    found[np.asarray(got["slot"])] = np.asarray(got["n"])
-    return found
-
-
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
-
-
-def _prefixes(docs: DataFrame, frequencies: np.ndarray, percent: int, hot: int) -> DataFrame:
-    """(key, v, shape, p0, p1, earlier) of the shareable prefix words of each class, dealt to partitions by key.
-
-    ``shape`` packs the set's size, the word's place in the order, and the sides of the join that the row
-    is for: 3, or 1 and 2 for salted words.  p0 and p1 are the parities; ``earlier`` has prefix words before
-    the row's own.
-    """
-    slots, shared = np.uint64(len(frequencies)), docs.sparkSession.sparkContext.broadcast(frequencies)
-
-    def emit(lines: _Lines, fresh: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        line = np.repeat(np.arange(len(lines.n)), lines.n)
-        bit, high = np.uint64(1) << (lines.words >> np.uint64(58)), (lines.words >> np.uint64(57)) & np.uint64(1) == 1
-        parity = [np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), lines.first) for side in (~high, high)]
-        count = counts[(lines.words % slots).astype(np.int64)]
-        order = np.lexsort((lines.words, count, line))
-        place = np.arange(len(line)) - np.repeat(lines.first, lines.n)
-        taken = (place < prefix_length(lines.n, percent)[line]) & (count[order] > 1) & fresh[line]
-        words, count, line, place = lines.words[order][taken], count[order][taken], line[taken], place[taken]
-        all_words, at = words, np.arange(len(words))
-        opens = np.flatnonzero(np.diff(line, prepend=-1))
-        start = np.repeat(opens, np.diff(np.append(opens, len(line))))
-        salts = (count + hot - 1) // hot
-        side = np.where(salts > 1, 1, 3)
-        salt = np.where(salts > 1, lines.name[line].view(np.uint64) % salts.astype(np.uint64), np.uint64(0))
-        if (salts > 1).any():
-            copies = np.where(salts > 1, salts, 0)
-            again = np.repeat(np.arange(len(words)), copies)
-            salt = np.concatenate([salt, (np.arange(len(again)) - np.repeat(np.cumsum(copies) - copies, copies)).astype(np.uint64)])
-            words, line, place, at, start = (np.concatenate([x, x[again]]) for x in (words, line, place, at, start))
-            side = np.concatenate([side, np.full(len(again), 2)])
-        shape = lines.n[line] << 33 | place << 2 | side
-        columns = [signed(mix(words + salt * _SALT)), lines.name[line], shape.astype(np.int64), *(signed(p)[line] for p in parity)]
-        held = np.minimum(at - start, EARLIER)
-        ends = np.cumsum(held)
-        inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - held, held)
-        earlier = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(signed(all_words[np.repeat(start, held) + inside])))
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), earlier], names=["key", "v", "shape", "p0", "p1", "earlier"])
+def line_classes(docs: DataFrame, slots: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, print, line_no, v): the class of every line with a word; and how many lines hold a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # saves rows only; the same row may come from several tasks
+        total = np.zeros(slots, np.uint32)
         for batch in batches:
-            for lines in _line_sets(batch.column("text")):
-                fresh = np.zeros(len(lines.name), bool)
-                names, at = np.unique(lines.name, return_index=True)
-                fresh[at] = [x not in seen for x in names.tolist()]
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.update(names.tolist())
-                yield emit(lines, fresh, shared.value)
-
-    rows = docs.select("text").mapInArrow(run, "key bigint, v bigint, shape bigint, p0 bigint, p1 bigint, earlier array<bigint>")
-    # one shuffle serves both sides of the join; rows of a class that several tasks sent become one
-    return rows.repartition(shuffle_width(docs.sparkSession), "key").dropDuplicates(["key", "v", "shape"])
-
-
-def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
-    def side(letter: str) -> DataFrame:
-        shape = F.col("shape")
-        size, place = F.shiftright(shape, 33), F.shiftright(shape, 2).bitwiseAND((1 << 31) - 1)
-        return prefixes.select("key", F.col("v").alias(letter), size.alias("n" + letter), place.alias("p" + letter), shape.bitwiseAND(3).alias("s" + letter), F.col("p0").alias(letter + "0"), F.col("p1").alias(letter + "1"), F.col("earlier").alias("e" + letter))
-
-    # over both rows at once: a filter of one side would be pushed under the shuffle, which then would differ
-    sides = F.col("sa").bitwiseAND(1) + F.col("sb").bitwiseAND(2) == 3
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    lengths = 100 * F.col("na") >= percent * F.col("nb")
-    overlap = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    met = side("a").hint("shuffle_merge").join(side("b"), "key")
-    met = met.filter(sides & ordered & lengths & (reach >= overlap) & (differ <= F.col("na") + F.col("nb") - 2 * overlap))
-    return met.filter(~F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
-
-
-def _class_filter(classes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each class of ``classes`` (v) in a table of fixed size; Spark sets the bits of a word."""
-    at = F.pmod(F.col("v"), F.lit(bits))
-    words = classes.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(v, {bits}) & 63 as int))")).alias("set")).toArrow()
+            for rows, numbers, sets in _lines(batch.column("text")):
+                setjoin.count_into(total, sets.words)
+                at, none = pa.array(rows), pa.nulls(len(rows))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("print").take(at), pa.array(numbers.astype(np.int32)), pa.array(sets.v), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "print", "line_no", "v", "block", "counts"])
+        packed = setjoin.packed_counts(total)
+        none = pa.nulls(packed.num_rows)
+        yield pa.RecordBatch.from_arrays([*(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())), *packed.columns], names=["doc_id", "print", "line_no", "v", "block", "counts"])
+
+    found = stored(_printed(docs).mapInArrow(run, "doc_id bigint, print bigint, line_no int, v bigint, block int, counts binary"), "lines")
+    counts = setjoin.collected_counts(setjoin.summed_counts(found.filter("block is not null").select("block", "counts"), slots), slots)
+    return found.filter("block is null").select("doc_id", "print", "line_no", "v"), counts
+
+
+def _filter_of(values: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each of ``values`` (x) in a table of ``bits``; Spark sets the bits of a word."""
+    at = f"pmod(x, {bits}L)"
+    words = values.groupBy(F.expr(f"cast(shiftright({at}, 6) as int)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} & 63 as int))")).alias("set")).toArrow()
     table = np.zeros(bits >> 6, np.uint64)
     table[np.asarray(words["word"])] = np.asarray(words["set"]).view(np.uint64)
     return table
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
-    """(v, set) of the classes in ``classes`` (v), and of those that its filter can't tell from them."""
-    held = docs.sparkSession.sparkContext.broadcast(_class_filter(classes, bits))  # bits / 8 bytes
+def _filter_bits(number: int) -> int:
+    return min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * max(1, number)).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lines in _line_sets(batch.column("text")):
-                at = lines.name % bits
-                chosen = (held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-                names, once = np.unique(lines.name, return_index=True)
-                once = once[chosen[once]]
-                sets = [lines.words[a : a + k].tobytes() for a, k in zip(lines.first[once], lines.n[once])]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.name[once]), pa.array(sets, pa.binary())], names=["v", "set"])
 
-    found = docs.select("text").mapInArrow(run, "v bigint, set binary")
-    return found.groupBy("v").agg(F.first("set").alias("set"))
+def _passes(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = x % (len(table) << 6)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, held = [], None, None
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                if a != last:
-                    last, held = a, np.frombuffer(x.as_buffer(), np.uint64)
-                other = np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(held, other)
-                at[at == len(held)] = 0
-                shared = int(np.count_nonzero(held[at] == other))
-                keep.append(100 * shared >= percent * (len(held) + len(other) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
-
-    x, y = sets.select(F.col("v").alias("a"), F.col("set").alias("x")), sets.select(F.col("v").alias("b"), F.col("set").alias("y"))
-    return pairs.join(y.hint("shuffle_merge"), "b").join(x.hint("shuffle_merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def repeated_lines(docs: DataFrame, percent: int = 80, slots: int = 1 << 22, filter_bits: int = 1 << 26, hot: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """(lines, links): doc_id, line_no, v, removed of every line with a word; and the links (a, b)
-    between classes of different sets."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    lines = stored(line_classes(docs), "lines")
-    pairs = stored(_candidates(_prefixes(docs, word_frequencies(docs, slots), percent, hot), percent), "line-pairs")
-    ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    links = stored(_verified(pairs, stored(_sets_of(docs, ends, filter_bits), "line-sets"), percent), "line-links")
-    first = lines.groupBy("v").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+_PLACE = ["doc_id", "print", "line_no"]
+
+
+def repeated_lines(docs: DataFrame, percent: int = 80, slots: int = 1 << 22, common: int | None = None, block: int = 1024) -> DataFrame:
+    """doc_id, print, line_no, v, removed, degree of every line with a word: its class, and how many classes
+    of different sets that is linked with."""
+    lines, counts = line_classes(docs, slots)
+    if common is None:
+        common = min(COMMON[1], max(COMMON[0], math.isqrt(lines.count())))
+    join = setjoin.Join(docs.select("text"), _read, counts, percent, common, block)
+    pairs = stored(join.candidates(join.prefixes()), "line-pairs")
+    ends = stored(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "line-ends")
+    wanted = _filter_of(ends.select(F.col("v").alias("x")), _filter_bits(ends.count()))
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+    sets = stored(join.sets_and_members(lambda v: _passes(held.value, v)), "line-sets")
+    candidates = sets.filter("word is null").groupBy("v").agg(F.first("set").alias("set"))
+    links = stored(join.verified(pairs, candidates), "line-links")
+
+    first = stored(lines.groupBy("v").agg(F.min(F.struct(*_PLACE)).alias("first")).select("v", "first.*"), "line-firsts")
+    places = first.join(ends.hint("shuffle_merge"), "v")
     both = links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a"))
-    other = first.select(F.col("v").alias("w"), F.col("first").alias("other"))
-    earlier = both.join(other.hint("shuffle_merge"), "w").groupBy("v").agg(F.min("other").alias("other"))
-    known = first.join(earlier.hint("shuffle_merge"), "v", "left").select("v", F.least("first", "other").alias("first"))
-    judged = lines.join(known.hint("shuffle_merge"), "v")
-    place = F.struct("doc_id", "line_no")
-    return judged.select("doc_id", "line_no", "v", (~place.eqNullSafe(F.col("first"))).alias("removed")), links
+    other = places.select(F.col("v").alias("w"), F.struct(*_PLACE).alias("other"))
+    linked = both.join(other.hint("shuffle_merge"), "w").groupBy("v").agg(F.count("*").alias("degree"), F.min("other").alias("other"))
+
+    members = sets.filter("word is not null").dropDuplicates(["word", "v"])
+    sums = join.block_links(members.join(first.hint("shuffle_merge"), "v")).select("v", "degree", F.struct(*_PLACE).alias("other"))
+    degrees = stored(linked.unionByName(sums).groupBy("v").agg(F.sum("degree").alias("degree"), F.min("other").alias("other")), "line-degrees")
+    known = first.join(degrees.hint("shuffle_merge"), "v", "left").select("v", "degree", F.least(F.struct(*_PLACE), "other").alias("first"))
+    judged = lines.join(known.hint("shuffle_merge"), "v").select(*_PLACE, "v", (~F.struct(*_PLACE).eqNullSafe(F.col("first"))).alias("removed"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    return judged
+
+
+def worded_of(text: str) -> Column:
+    """The number of a text's lines that have a word."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))).cast("bigint")
 
 
-def without_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, percent: int = 80, **settings) -> DataFrame:
     """The columns of ``docs`` with the text's repeated lines taken out, and n_lines, n_removed, n_links:
     lines with a word, those removed, and links of its lines' classes to classes of other sets."""
-    lines, links = repeated_lines(docs, percent)
-    degree = links.select(F.col("a").alias("v")).union(links.select("b")).groupBy("v").agg(F.count("*").alias("degree"))
-    lines = lines.join(degree.hint("shuffle_merge"), "v", "left")
-    cut = lines.dropDuplicates(["doc_id", "line_no", "v"]).groupBy("doc_id").agg(
-        F.count("*").alias("_lines"), F.sum(F.coalesce("degree", F.lit(0))).alias("_links"), F.collect_list(F.when(F.col("removed"), F.col("line_no"))).alias("_cut")
-    )
-    d, c = docs.alias("d"), cut.hint("shuffle_merge").alias("c")
-    joined = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left")
-    stay = F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains(F.coalesce("_cut", F.array().cast("array<int>")), i))
+    lines = repeated_lines(docs, percent, **settings).drop("v").distinct()
+    cut = lines.groupBy("doc_id", "print").agg(F.count("*").alias("_lines"), F.sum("degree").alias("_links"), F.collect_list(F.when(F.col("removed"), F.col("line_no"))).alias("_cut"))
+    touched = stored(cut.filter("_links > 0 or size(_cut) > 0"), "line-cuts")
+    held = docs.sparkSession.sparkContext.broadcast(_filter_of(touched.select(F.col("print").alias("x")), _filter_bits(touched.count())))
+
+    @F.pandas_udf("boolean")
+    def maybe_touched(prints: pd.Series) -> pd.Series:
+        return pd.Series(_passes(held.value, prints.to_numpy()))
+
+    # texts that keep all their lines, and have no links, stay where they are
+    marked = docs.withColumn("_print", F.xxhash64("text")).withColumn("_touched", maybe_touched("_print"))
+    d, c = marked.filter("_touched").alias("d"), touched.hint("shuffle_merge").alias("c")
+    joined = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._print") == F.col("c.print")), "left")
+    stay = F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("_cut", i))
     text = F.when(F.size("_cut") > 0, F.array_join(stay, "\n")).otherwise(F.col("d.text"))
-    columns = {n: F.col(f"d.`{n}`") for n in docs.columns} | {"text": text, "n_lines": F.coalesce("_lines", F.lit(0)), "n_removed": F.greatest(F.size(F.coalesce("_cut", F.array().cast("array<int>"))), F.lit(0)).cast("bigint"), "n_links": F.coalesce("_links", F.lit(0))}
-    return joined.select(*[x.alias(n) for n, x in columns.items()])
+    counts = {"n_lines": worded_of("text"), "n_removed": F.lit(0).cast("bigint"), "n_links": F.lit(0).cast("bigint")}
+    names = [n for n in docs.columns if n not in counts]
+    parts = {"n_removed": F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("bigint"), "n_links": F.coalesce("_links", F.lit(0)).cast("bigint")}
+    moved = joined.select(*[(text if n == "text" else F.col(f"d.`{n}`")).alias(n) for n in names], F.coalesce("_lines", worded_of("d.text")).alias("n_lines"), *[x.alias(n) for n, x in parts.items()])
+    rest = marked.filter("not _touched").select(*[f"`{n}`" for n in names], *[x.alias(n) for n, x in counts.items()])
+    return moved.unionByName(rest)

@@ -10,8 +10,9 @@ Its count says where the pair is found, so that no pair is found twice:
   positional filter (from the first shared word on, both have enough words left for the overlap) and a parity
   filter (each set carries the parities of its words in 64 groups, a larger one in 128 or 256; two sets
   differ in at least as many words as groups), and the pairs that remain are verified on the full sets;
-* words in more sets are dealt in blocks of about ``block`` sets.  A task holds two blocks of one word, works out
-  the overlaps of all its pairs at once and returns a sum for each set, never the pairs.
+* the sets with a word in more sets in their prefix are counted for each such word, which are often few, and
+  dealt in blocks of about ``block`` sets.  A task holds two blocks of one word, works out the overlaps of
+  all its pairs at once and returns a sum for each set, never the pairs.
 
 A prefix word that stands in one set of the corpus can't be shared and isn't emitted.
 """
@@ -185,35 +186,25 @@ class Join:
 
         return self._emitted(", ".join(f"{c} bigint" for c in _PREFIX), make)
 
-    def sets_and_blocks(self, wanted: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-        """(word, i, j, v, set) in one pass: with no word, the sets of classes that ``wanted`` names; with a word
-        of many sets, the sets that have it in their prefix, once for each pair of blocks (i <= j) of that
-        word that the set's own block is in."""
-        limit, size = self.common, self.block
+    def sets_and_members(self, wanted: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        """(word, v, set) in one pass: with no word, the sets of classes that ``wanted`` names; with a word of more than
+        ``common`` sets, the sets that have it in their prefix."""
+        limit = self.common
 
         def packed(sets: Sets, at: np.ndarray) -> pa.Array:
             return pa.array([sets.words[a : a + n].tobytes() for a, n in zip(sets.first[at].tolist(), sets.n[at].tolist())], pa.binary())
 
         def make(sets: Sets, fresh, word, place, count, line) -> Iterator[pa.RecordBatch]:
-            names = ["word", "i", "j", "v", "set"]
             at = np.flatnonzero(fresh)
             at = at[wanted(sets.v[at])]
-            none = pa.nulls(len(at))
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), pa.array(sets.v[at]), packed(sets, at)], names=names)
             many = count > limit
-            if not many.any():
-                return
-            word, count, line = word[many], count[many], line[many]
-            blocks = -(-count.astype(np.int64) // size)
-            own = (mix(sets.v[line].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-            again = np.repeat(np.arange(len(word)), blocks)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            i, j = np.minimum(own[again], other), np.maximum(own[again], other)
-            for lo in range(0, len(again), 20_000):
+            rows = np.concatenate([at, line[many]])
+            words = pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(signed(sets.words[word[many]]))])
+            for lo in range(0, len(rows), 20_000):
                 some = slice(lo, lo + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sets.words[word])[again[some]]), pa.array(i[some].astype(np.int32)), pa.array(j[some].astype(np.int32)), pa.array(sets.v[line][again[some]]), packed(sets, line[again[some]])], names=names)
+                yield pa.RecordBatch.from_arrays([words.slice(lo, 20_000), pa.array(sets.v[rows[some]]), packed(sets, rows[some])], names=["word", "v", "set"])
 
-        return self._emitted("word bigint, i int, j int, v bigint, set binary", make)
+        return self._emitted("word bigint, v bigint, set binary", make)
 
     # --- words that few sets hold -------------------------------------------------------------------
 
@@ -268,27 +259,32 @@ class Join:
 
     # --- words that many sets hold ------------------------------------------------------------------
 
-    def block_links(self, dealt: DataFrame) -> DataFrame:
-        """(v, degree, doc_id, print, line_no) of ``dealt`` with the first places of its sets: how many others
-        a set is linked with by this word first, in these two blocks, and the earliest place of them."""
+    def block_links(self, members: DataFrame) -> DataFrame:
+        """(v, degree, doc_id, print, line_no) of ``members`` (word, v, set, and the set's first place): how many others a set
+        is linked with by a word first, in two blocks of it, and the earliest place of them; a row for each."""
         shared, percent, size = self.counts, self.percent, self.block
-
-        def run(table: pa.Table) -> pa.Table:
-            counts = shared.value
-            _, once = np.unique(table.column("v").to_numpy(), return_index=True)
-            table = table.take(pa.array(once)).combine_chunks()
-            names = table.column("v").to_numpy()
-            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        # a word's members are counted before they are dealt; adaptive execution splits a hot word in this join
+        blocks = members.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+        dealt = members.join(blocks.hint("shuffle_merge"), "word").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("word", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "set", "doc_id", "print", "line_no")
+        dealt = dealt.repartition(shuffle_width(members.sparkSession), "word", "i", "j").sortWithinPartitions("word", "i", "j")
+
+        def links(group: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
+            _, once = np.unique(group.column("v").to_numpy(), return_index=True)
+            group = group.take(pa.array(once))
+            names, own = group.column("v").to_numpy(), group.column("own").to_numpy()
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
             n = np.array([len(x) for x in parts])
-            word, i, j = (table.column(c)[0].as_py() for c in ("word", "i", "j"))
+            word, i, j = (group.column(c)[0].as_py() for c in ("word", "i", "j"))
+            counts = shared.value
             count = lambda words: counts[(words % np.uint64(len(counts))).astype(np.int64)].astype(np.int64)
             a, b = linked(Sets(names, n, np.cumsum(n) - n, np.concatenate(parts)), np.uint64(word), count, percent)
             if i != j:
-                blocks = -(-int(count(np.array([word], np.uint64))[0]) // size)
-                own = mix(names.view(np.uint64)) % np.uint64(blocks)
-                across = own[a] != own[b]
-                a, b = a[across], b[across]
-            doc, text, line = (table.column(c) for c in ("doc_id", "print", "line_no"))
+                a, b = a[own[a] != own[b]], b[own[a] != own[b]]
+            if not len(a):
+                return {}
+            doc, text, line = (group.column(c) for c in ("doc_id", "print", "line_no"))
             order = np.lexsort((line.to_numpy(), text.to_numpy(), doc.fill_null(0).to_numpy(), np.asarray(doc.is_valid())))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
@@ -297,9 +293,34 @@ class Join:
             np.minimum.at(least, ends, rank[others])
             some = np.flatnonzero(degree)
             at = pa.array(order[least[some]])
-            return pa.table({"v": names[some], "degree": degree[some].astype(np.int64), "doc_id": doc.take(at), "print": text.take(at), "line_no": line.take(at)})
+            return {"v": pa.array(names[some]), "degree": pa.array(degree[some].astype(np.int64)), "doc_id": doc.take(at), "print": text.take(at), "line_no": line.take(at)}
 
-        return dealt.groupBy("word", "i", "j").applyInArrow(run, "v bigint, degree bigint, doc_id bigint, print bigint, line_no int")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []  # of one word and pair of blocks, about two blocks of rows
+
+            def closed() -> Iterator[pa.RecordBatch]:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+                if whole.num_rows > 1 and (found := links(whole)):
+                    yield pa.RecordBatch.from_pydict(found)
+
+            last = None
+            for batch in batches:
+                keys = [batch.column(c).to_numpy() for c in ("word", "i", "j")]
+                change = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+                cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if lo == hi:
+                        continue
+                    key = tuple(k[lo] for k in keys)
+                    if key != last:
+                        if held:
+                            yield from closed()
+                        held, last = [], key
+                    held.append(batch.slice(lo, hi - lo))
+            if held:
+                yield from closed()
+
+        return dealt.mapInArrow(run, "v bigint, degree bigint, doc_id bigint, print bigint, line_no int")
 
 
 def read_packed(batch: pa.RecordBatch, at_once: int = 1000) -> Iterator[Sets]:
