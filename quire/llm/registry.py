@@ -79,8 +79,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_pseudo_likelihood, op2_language_filters, op3_orc_token_files, op4_personal_data, op5_line_dedup, op6_bpe_roundtrip, op7_quality_rules, op8_minhash_groups, op9_source_mixing, op10_exact_dedup)
+    all_of = (op1_pseudo_likelihood, op2_language_filters, op3_orc_token_files, op4_personal_data, op5_line_dedup, op6_bpe_roundtrip, op7_quality_rules, op8_minhash_groups, op9_source_mixing, op10_exact_dedup, op11_simhash_groups)
     return {f.__name__: f for f in all_of}
 
 
