@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import divergence, quality_rules
 from ._shared import crc_fold, scratch_path, table
 
 
@@ -85,8 +85,18 @@ def op11_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_pseudo_likelihood, op2_language_filters, op3_orc_token_files, op4_personal_data, op5_line_dedup, op6_bpe_roundtrip, op7_quality_rules, op8_minhash_groups, op9_source_mixing, op10_exact_dedup, op11_simhash_groups)
+    all_of = (op1_pseudo_likelihood, op2_language_filters, op3_orc_token_files, op4_personal_data, op5_line_dedup, op6_bpe_roundtrip, op7_quality_rules, op8_minhash_groups, op9_source_mixing, op10_exact_dedup, op11_simhash_groups, op12_divergence_audit, op13_embedding_whitening)
     return {f.__name__: f for f in all_of}
 
 
@@ -115,4 +125,4 @@ FROM s LEFT JOIN c ON s.g = c.g AND len(s.g) > 0 LEFT JOIN r ON r.v = c.v
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.ORACLE_SQL, "op8_minhash_groups": NEAR_GROUPS_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op7_quality_rules": quality_rules.ORACLE_SQL, "op8_minhash_groups": NEAR_GROUPS_SQL, "op10_exact_dedup": EXACT_DEDUP_SQL, "op12_divergence_audit": divergence.ORACLE_SQL}
