@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEET = {"iambic": "01", "trochaic": "10", "anapestic": "001", "dactylic": "100", "amphibrachic": "010"}
+from .meter import FEET
 
 
 def rhyme_part(phones):
@@ -65,41 +61,6 @@ def meter_templates(spark, most_feet: int = 8) -> DataFrame:
     return rows.withColumn("feet", F.explode(F.sequence(F.lit(1), F.lit(most_feet)))).withColumn("template", F.expr("repeat(foot, feet)"))
 
 
-def meter_fit(stresses: DataFrame, most_feet: int = 8, extra: float = 0.7, omitted: float = 0.7, mismatch: float = 1.0) -> DataFrame:
-    """Alignment fit of each distinct stress string with each template: 1 - cost / longer length.
-
-    The cost is an edit distance.  Strings of one length are aligned together, a syllable at a time, in Arrow batches;
-    the templates of a pattern are prefixes of its longest one, whose row of costs serves them all.
-    """
-
-    def costs(strings: np.ndarray, template: np.ndarray) -> np.ndarray:
-        steps = np.arange(len(template) + 1) * omitted
-        row = np.tile(steps, (len(strings), 1))
-        for t in range(strings.shape[1]):
-            cells = np.minimum(row[:, 1:] + extra, row[:, :-1] + (strings[:, t, None] != template) * mismatch)
-            first = row[:, :1] + extra
-            row = np.minimum.accumulate(np.concatenate([first, cells], axis=1) - steps, axis=1) + steps
-        return row
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike: dict[int, list[str]] = {}
-            for s in batch.column("stress").to_pylist():
-                alike.setdefault(len(s), []).append(s)
-            for length, strings in alike.items():
-                marks = np.frombuffer("".join(strings).encode(), np.uint8).reshape(len(strings), length)
-                for pattern, foot in FEET.items():
-                    row = costs(marks, np.frombuffer((foot * most_feet).encode(), np.uint8))
-                    feet = np.arange(1, most_feet + 1)
-                    cost = row[:, feet * len(foot)]
-                    fit = 1 - cost / np.maximum(length, feet * len(foot))
-                    n = len(strings) * most_feet
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(strings, most_feet)), pa.array([pattern] * n), pa.array(np.tile(feet, len(strings)).astype(np.int32)), pa.array(cost.ravel()), pa.array(fit.ravel())], names=["stress", "pattern", "feet", "cost", "fit"])
-
-    rows = stresses.select("stress").filter("stress is not null").distinct()
-    return rows.mapInArrow(run, "stress string, pattern string, feet int, cost double, fit double")
-
-
 def stress_clash_lapse(syllable_rows: DataFrame) -> DataFrame:
     """Clashes (two neighbours of .68 or more) and lapses (runs of three or more below .42) per line.
     ``syllable_rows``: work_id, line_no, pos, prominence."""

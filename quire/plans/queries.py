@@ -688,12 +688,6 @@ def internal_rhymes(spark, sf_dir):
     return sound.internal_rhymes(base.words(spark, sf_dir).select("work_id", "line_no", "form", F.right("form", F.lit(2)).alias("part")))
 
 
-@_query(None)
-def meter_fit(spark, sf_dir):
-    whole = base.words(spark, sf_dir).groupBy("work_id", "line_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", (base.digit("form", 3, 1) % 2).alias("s")))), lambda x: x["s"].cast("string")), "").alias("stress"))
-    return sound.meter_fit(whole)
-
-
 @_query(""", p AS (SELECT work_id, line_no, pos, ('0x' || substr(md5(form), 1, 4))::INT / 65535.0 AS v FROM t), q AS (SELECT *, v >= 0.68 AND coalesce(lag(v >= 0.68) OVER w, false) AS clash, sum((v >= 0.42)::INT) OVER w AS island FROM p WINDOW w AS (PARTITION BY work_id, line_no ORDER BY pos)),
 r AS (SELECT work_id, line_no, island, count(*) FILTER (v < 0.42) AS run, count(*) FILTER (clash) AS clashes FROM q GROUP BY work_id, line_no, island) SELECT work_id, line_no, sum(clashes)::BIGINT AS clashes, count(*) FILTER (run >= 3) AS lapses FROM r GROUP BY work_id, line_no""")
 def stress_clash_lapse(spark, sf_dir):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KNOWN: dict[tuple[str, str], str] = {}
+#: (application, name, state of the inputs) -> folder.
+_KNOWN: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,13 +35,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _state_of_inputs(df: DataFrame) -> str:
+    """A digest of the folders that hold the files ``df`` reads: names, sizes and times of change."""
+    spark = df.sparkSession
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = hashlib.sha256()
+    for folder in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        listed = jvm.org.apache.commons.lang3.ArrayUtils.toString(path.getFileSystem(hadoop).listStatus(path))
+        found.update(re.sub(r"access_time=\d+", "", listed).encode())
+    return found.hexdigest()
+
+
 def kept(spark: SparkSession, name: str, make) -> DataFrame:
-    """The table that ``make`` returns, written once a session under ``name``, and anew if its files have gone."""
-    key = (spark.sparkContext.applicationId, name)
+    """The table that ``make`` returns, written once a session under ``name``; anew if the files that it is made
+    from have changed since, or its own have gone."""
+    made = make()
+    key = (spark.sparkContext.applicationId, name, _state_of_inputs(made))
     if key in _KNOWN:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_KNOWN[key] + "/_SUCCESS")
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             return spark.read.parquet(_KNOWN[key])
-    _KNOWN[key] = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-    make().write.parquet(_KNOWN[key])
-    return spark.read.parquet(_KNOWN[key])
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    made.write.parquet(folder)
+    _KNOWN[key] = folder
+    return spark.read.parquet(folder)

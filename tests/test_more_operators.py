@@ -66,15 +66,16 @@ def test_stress_variants_and_best_template(spark):
     got = {r.line_no: r for r in meter.stress_variants(lines).collect()}
     assert sorted(got[1].variants) == ["".join(x) for x in sorted(itertools.product(["0", "1"], ["1"], ["01"]))]
     assert got[2].variants is None and got[2]["count"] == 512
-    rows = meter.stress_variants(lines).filter("variants is not null").select("work_id", "stanza_no", "line_no", "variants")
-    best = meter.line_best(rows, sound.meter_fit(rows.select(F.explode("variants").alias("stress"))))
+    status = meter.line_status(meter.stress_variants(lines))
+    fitted = meter.line_fits(status.filter("status = 'analysed'").select("work_id", "stanza_no", "line_no", "variants"))
+    best = meter.line_best(fitted)
     first = {r.line_no: (r.pattern, r.feet, r.fit) for r in best.filter("place = 1").collect()}
     assert first == {1: ("iambic", 2, 1.0), 3: ("iambic", 5, 1.0)}
-    work = meter.work_summary(best).first()
-    assert (work.lines, work.n, work.margin, work.matching) == (2, 1, 0.0, 1.0)
+    work = meter.work_summary(status, fitted).first()
+    assert (work.eligible, work.analysed, work.dominant_pattern, work.dominant_feet) == (3, 2, "iambic", None)
     stanza = meter.stanza_summary(best).first()
     assert (stanza.primary, stanza.secondary, stanza.exceptions) == ("iambic 2", "iambic 5", [3])
-    assert {r.form: r.score for r in meter.form_shape(best, {"sonnet": ("iambic", 5)}).collect()}["sonnet"] > 0
+    assert {r.form: r.score for r in meter.form_shape(fitted, {"sonnet": ("iambic", 5)}).collect()}["sonnet"] > 0
 
 
 def test_forms(spark):

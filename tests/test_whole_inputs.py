@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from quire.operators.sound import FEET
+from quire.plans import base
 
 RNG = np.random.default_rng(11)
 
@@ -63,22 +63,18 @@ def test_nearest_skips_nulls_and_asks_for_shared_weight(spark):
         assert sorted(got.get(i, [])) == [(k + 1, j, round(d, 6), round(s, 6)) for k, (d, j, s) in enumerate(sorted(want)[:4])]
 
 
-def test_meter_fit_reads_whole_lines(spark, tmp_path):
-    lines = ["one two three four five six seven eight nine ten eleven twelve thirteen", "dark night", "one two three four five six"]
-    spark.createDataFrame([(1, "\n".join(lines), "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    stress = lambda line: "".join(str(int(hashlib.md5(w.encode()).hexdigest()[2], 16) % 2) for w in line.split())
-
-    def cost(s, m):
-        row = [i * 0.7 for i in range(len(m) + 1)]
-        for ch in s:
-            new = [row[0] + 0.7]
-            for i, x in enumerate(m):
-                new.append(min(row[i] + (x != ch), row[i + 1] + 0.7, new[-1] + 0.7))
-            row = new
-        return row[-1]
-
-    want = {(s, p, n): (pytest.approx(c := cost(s, f * n), abs=1e-5), pytest.approx(1 - c / max(len(s), len(f * n)), abs=1e-5)) for s in map(stress, lines) for p, f in FEET.items() for n in range(1, 9)}
-    assert {(r.stress, r.pattern, r.feet): (r.cost, r.fit) for r in entry.queries()["meter_fit"](spark, str(tmp_path)).collect()} == want
+def test_a_changed_folder_is_read_anew(spark, tmp_path):
+    """Tables kept for a session follow the files that they were made from."""
+    write = lambda text: spark.createDataFrame([(1, text, "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    write("alpha beta alpha")
+    first = {r.lemma: r.tag for r in run("annotate_pos_lemma")}
+    assert run("token_evidence_wide") and set(first) == {"alpha", "beta"}
+    write("gamma delta")
+    tags = {r.lemma: r.tag for r in run("annotate_pos_lemma")}
+    again = {r.form: r for r in run("token_evidence_wide")}
+    want = {w: base.TAGS[int(hashlib.md5(w.encode()).hexdigest()[13], 16) % 8] for w in ("gamma", "delta")}
+    assert tags == want and {w: r.tag for w, r in again.items()} == want
 
 
 ENGLISH_RULES = ["stopword_policy", "stopword_classify", "syllable_heuristic", "readability_counts", "readability_indices", "stopword_sensitivity", "scenario_deltas"]
