@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 from ..functions.columns import ratio
 
 
@@ -91,13 +93,25 @@ def rank_with_margin(scores: DataFrame, keys: list[str]) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).withColumn("margin", F.col("score") - F.lead("score").over(order))
 
 
+def mid_ranks(points: DataFrame, value: str) -> DataFrame:
+    """(d, p): the mid-rank percentile of each distinct value, rounded to 9 digits.
+
+    Values are dealt into ranges, so ties lie in one; a range's place is the sum of the counts of those before it, a row a
+    range, and inside a range its values are ranked in their own task."""
+    counts = points.filter(F.col(value).isNotNull()).groupBy((F.round(value, 9) + F.lit(0.0)).alias("d")).agg(F.count("*").alias("n"))
+    width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(counts.repartitionByRange(width, "d").withColumn("slot", F.spark_partition_id()), "ranges")
+    slots = dealt.groupBy("slot").agg(F.sum("n").alias("k"))
+    slots = slots.select("slot", (F.sum("k").over(Window.orderBy("slot")) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy()).alias("all"))  # a row a range
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("d"))
+    return dealt.join(F.broadcast(slots), "slot").select("d", ((F.col("before") + upto - F.col("n") / 2) / F.col("all")).alias("p"))
+
+
 def characteristicity(points: DataFrame) -> DataFrame:
-    """Mid-rank percentile of each distance.  Ranks come from counts of distinct distances, so only those
-    are ordered in one place, rounded to 9 digits."""
-    counts = points.groupBy(F.round("distance", 9).alias("d")).agg(F.count("*").alias("n"))
-    upto = Window.orderBy("d")
-    ranks = counts.withColumn("p", (F.sum("n").over(upto) - F.col("n") / 2) / F.sum("n").over(Window.partitionBy()))
-    return points.join(ranks.hint("shuffle_merge"), F.round("distance", 9) == F.col("d")).select("work_id", "distance", F.col("p").alias("distinctive"), (1 - F.col("p")).alias("characteristic"))
+    """Mid-rank percentile of each distance, and what it lacks to 1; null for a null distance.  ``points``: id, distance."""
+    ranks = mid_ranks(points, "distance").hint("shuffle_merge")
+    found = points.join(ranks, F.round("distance", 9) + F.lit(0.0) == F.col("d"), "left")
+    return found.select("id", "distance", F.col("p").alias("distinctive"), (1 - F.col("p")).alias("characteristic"))
 
 
 def browse(points: DataFrame, query: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import possessive_base
+from ..functions.columns import possessive_base, text_lines
 
 
 def match_exact(token_rows: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -36,16 +36,51 @@ def match_cascade(token_rows: DataFrame, lexicon: DataFrame, collisions: DataFra
     return joined.withColumn("method", F.coalesce("method", F.lit("unmatched")))
 
 
-def phrase_candidates(token_rows: DataFrame, phrases: DataFrame, sizes: list[int]) -> DataFrame:
-    """Spans of neighbouring tokens of a line that equal a phrase: work_id, line_no, first, last, phrase.
-    An equi-join on n-grams built from a line's forms; no phrase crosses a line."""
-    line = Window.partitionBy("work_id", "line_no").orderBy("pos")
-    spans = None
-    for n in sizes:
-        grams = F.collect_list("form").over(line.rowsBetween(0, n - 1))
-        some = token_rows.withColumn("g", grams).filter(F.size("g") == n).select("work_id", "line_no", F.col("pos").alias("first"), (F.col("pos") + n - 1).alias("last"), F.array_join("g", " ").alias("phrase"))
-        spans = some if spans is None else spans.union(some)
-    return spans.join(phrases.select("phrase").hint("shuffle_merge"), "phrase", "left_semi")
+def phrase_sizes(phrases: DataFrame) -> list[int]:
+    """The distinct numbers of words of the listed phrases (phrase: words with one space between)."""
+    return sorted(r.n for r in phrases.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect() if r.n > 1)
+
+
+def line_grams(works: DataFrame, sizes: list[int], pattern: str) -> DataFrame:
+    """work_id, line_no, first, last, phrase: every run of that many tokens of a line.  Each token gets the forms that
+    follow it in its line inside the work's row, for all sizes at once, so nothing is shuffled and no line is crossed."""
+    lines = F.transform(text_lines(F.col("text")), lambda x, i: F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda w: F.struct((i + 1).alias("line_no"), F.lower(w).alias("form"))))
+    held = works.select("work_id", F.flatten(lines).alias("t")).filter(F.size("t") > 1)
+    run = lambda t, i: F.transform(F.filter(F.slice("t", i + 1, max(sizes)), lambda u: u["line_no"] == t["line_no"]), lambda u: u["form"])
+    each = held.select("work_id", F.posexplode(F.transform("t", lambda t, i: F.struct(t["line_no"].alias("line_no"), run(t, i).alias("run")))).alias("i", "x"))
+    n = F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda k: k <= F.size("x.run")))
+    each = each.select("work_id", F.col("x.line_no").alias("line_no"), (F.col("i") + 1).alias("first"), F.col("x.run").alias("run"), n.alias("n"))
+    return each.select("work_id", "line_no", "first", (F.col("first") + F.col("n") - 1).alias("last"), F.array_join(F.slice("run", F.lit(1), F.col("n")), " ").alias("phrase"))
+
+
+def phrase_candidates(works: DataFrame, phrases: DataFrame, pattern: str) -> DataFrame:
+    """Spans of neighbouring tokens of a line that equal a phrase of any length: work_id, line_no, first, last, phrase.
+    ``phrases`` come from files, so one join by their size is all that moves."""
+    sizes = phrase_sizes(phrases)
+    if not sizes:
+        return line_grams(works.limit(0), [2], pattern)
+    return line_grams(works, sizes, pattern).join(phrases.select("phrase"), "phrase", "left_semi").select("work_id", "line_no", "first", "last", "phrase")
+
+
+def phrase_select_greedy(spans: DataFrame) -> DataFrame:
+    """From left to right, the longest phrase at a token; its tokens are taken, and the next is looked for behind it.
+    A fold over the spans of each line."""
+    item = F.struct("first", (F.col("first") - F.col("last")).alias("k"), "last", "phrase")
+    per_line = spans.groupBy("work_id", "line_no").agg(F.sort_array(F.collect_list(item)).alias("s"))
+    kind = "struct<end:int,taken:array<struct<first:int,last:int,phrase:string>>>"
+    empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<first:int,last:int,phrase:string>>").alias("taken")).cast(kind)
+    own = lambda x: F.array(F.struct(x["first"].cast("int").alias("first"), x["last"].cast("int").alias("last"), x["phrase"].alias("phrase")))
+    step = lambda a, x: F.when(x["first"] > a["end"], F.struct(x["last"].cast("int").alias("end"), F.concat(a["taken"], own(x)).alias("taken"))).otherwise(a)
+    return per_line.select("work_id", "line_no", F.explode(F.aggregate("s", empty, step)["taken"]).alias("x")).select("work_id", "line_no", "x.*")
+
+
+def match_multiword(token_rows: DataFrame, chosen: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """work_id, first, last, term, method: the chosen phrases, and for each token outside them the first hit of exact form,
+    possessive base and lemma among single words.  ``chosen``: of ``phrase_select_greedy``."""
+    inside = chosen.select("work_id", F.explode(F.sequence("first", "last")).alias("pos"))
+    free = token_rows.join(inside.hint("shuffle_merge"), ["work_id", "pos"], "left_anti")
+    words = match_cascade(free, lexicon).filter("term is not null").select("work_id", F.col("pos").alias("first"), F.col("pos").alias("last"), "term", "method")
+    return chosen.select("work_id", "first", "last", F.col("phrase").alias("term"), F.lit("phrase").alias("method")).unionByName(words)
 
 
 def phrase_select_longest(spans: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import normal_form, ratio, rounded, strip_edges, summary, syllables
 from ..operators import corpus, features, matching, sound, statistics, structure
 from ..sources import files
+from ..sources.tables import kept
 from . import base
 from .base import ENGLISH, PRELUDE, STATS
 
@@ -225,29 +226,29 @@ def unmatched_terms(spark, sf_dir):
     return matching.unmatched_terms(_cascade(spark, sf_dir))
 
 
-_PHRASES = """tri AS (SELECT work_id, line_no, form, pos, lead(form) OVER w AS f2, lead(form, 2) OVER w AS f3 FROM t WINDOW w AS (PARTITION BY work_id, line_no ORDER BY pos)),
-ph AS (SELECT g AS phrase FROM (SELECT form || ' ' || f2 AS g FROM tri WHERE f2 IS NOT NULL UNION ALL SELECT form || ' ' || f2 || ' ' || f3 FROM tri WHERE f3 IS NOT NULL) GROUP BY g HAVING count(*) >= 5),
-sp AS (SELECT work_id, line_no, pos AS first, pos + 1 AS last, form || ' ' || f2 AS phrase FROM tri UNION ALL SELECT work_id, line_no, pos, pos + 2, form || ' ' || f2 || ' ' || f3 FROM tri)"""
+_SIZES = range(2, 7)
+_LEADS = ", ".join(f"lead(form, {n - 1}) OVER w AS f{n}" for n in _SIZES)
+_GRAM = lambda n: " || ' ' || ".join(["form", *[f"f{k}" for k in range(2, n + 1)]])
+_PHRASES = f"""tri AS (SELECT work_id, line_no, form, pos, {_LEADS} FROM t WINDOW w AS (PARTITION BY work_id, line_no ORDER BY pos)),
+sp AS MATERIALIZED ({' UNION ALL '.join(f"SELECT work_id, line_no, pos AS first, pos + {n - 1} AS last, {_GRAM(n)} AS phrase FROM tri WHERE f{n} IS NOT NULL" for n in _SIZES)}),
+ph AS MATERIALIZED (SELECT phrase FROM sp GROUP BY phrase HAVING count(*) >= 5)"""
+
+
+def _listed_phrases(spark, sf_dir):
+    """Phrases of two to six words that the works' lines hold at least five times."""
+    grams = matching.line_grams(base.works(spark, sf_dir), list(_SIZES), base.LETTERS)
+    return kept(spark, f"listed phrases {sf_dir}", lambda: grams.groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 5").select("phrase"))
 
 
 def _phrase_spans(spark, sf_dir):
-    t = base.words(spark, sf_dir)
-    line = "collect_list(form) OVER (PARTITION BY work_id, line_no ORDER BY pos ROWS BETWEEN CURRENT ROW AND {} FOLLOWING)"
-    grams = [t.select(F.expr(line.format(n - 1)).alias("g")).filter(F.size("g") == n).select(F.array_join("g", " ").alias("phrase")) for n in (2, 3)]
-    listed = grams[0].union(grams[1]).groupBy("phrase").agg(F.count("*").alias("n")).filter("n >= 5")
-    return matching.phrase_candidates(t, listed, [2, 3])
+    return matching.phrase_candidates(base.works(spark, sf_dir), _listed_phrases(spark, sf_dir), base.LETTERS)
 
 
-@_query(f", {_PHRASES} SELECT sp.* FROM sp SEMI JOIN ph USING (phrase) WHERE phrase IS NOT NULL")
+@_query(f", {_PHRASES} SELECT sp.* FROM sp SEMI JOIN ph USING (phrase)")
 def phrase_candidates(spark, sf_dir):
     return _phrase_spans(spark, sf_dir)
 
 
-@_query(None)
-def phrase_select_longest(spark, sf_dir):
-    return matching.phrase_select_longest(_phrase_spans(spark, sf_dir))
-
-
 @_query("""SELECT v.form AS term, 'a' AS lexicon, coalesce(x.form, y.form) AS form, round(coalesce(x.value, y.value), 6) AS value, CASE WHEN x.form IS NOT NULL THEN 'exact' ELSE 'lemma' END AS method
 FROM tg v LEFT JOIN nm x ON x.form = v.form LEFT JOIN nm y ON y.form = v.lemma WHERE coalesce(x.form, y.form) IS NOT NULL""")
 def lexicon_lookup_batch(spark, sf_dir):
@@ -523,12 +524,6 @@ def rank_candidates(spark, sf_dir):
     return corpus.rank_with_margin(scores, ["work_id"])
 
 
-@_query(""" , d AS (SELECT work_id, tokens::DOUBLE AS distance FROM wm), n AS (SELECT *, (rank() OVER (ORDER BY distance) - 1 + 0.5 * count(*) OVER (PARTITION BY distance)) / count(*) OVER () AS p FROM d)
-SELECT work_id, distance, round(p, 6) AS distinctive, round(1 - p, 6) AS characteristic FROM n""")
-def characteristicity(spark, sf_dir):
-    return corpus.characteristicity(base.work_means(spark, sf_dir).select("work_id", F.col("tokens").cast("double").alias("distance")))
-
-
 @_query("SELECT doc_id AS work_id, source AS poet, lang AS title FROM documents WHERE lower(lang || ' ' || source) LIKE '%en src1%'", prelude=False)
 def corpus_browse(spark, sf_dir):
     points = base.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.col("source").alias("poet"), F.col("lang").alias("title"))
@@ -603,6 +598,14 @@ def centre_distance(spark, sf_dir):
     return features.centre_distance(rows, _weights(rows))
 
 
+@_query(_Z + _W + """, d AS (SELECT id, sqrt(sum(w * z * z) / sum(w)) AS distance FROM z JOIN ww USING (feature) GROUP BY id), r AS (SELECT *, round(distance, 9) AS d FROM d),
+n AS (SELECT *, (rank() OVER (ORDER BY d) - 1 + 0.5 * count(*) OVER (PARTITION BY d)) / count(*) OVER () AS p FROM r)
+SELECT id, round(distance, 6) AS distance, round(p, 6) AS distinctive, round(1 - p, 6) AS characteristic FROM n""", prelude=False)
+def characteristicity(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return corpus.characteristicity(features.centre_distance(rows, _weights(rows)).select("id", "distance"))
+
+
 _NEAR = _Z + _W + """, zl AS (SELECT id, any_value(label) AS label, list(z ORDER BY feature::INT) AS v FROM z GROUP BY id), wl AS (SELECT list(w ORDER BY feature::INT) AS w FROM ww), d AS (SELECT a.id, b.id AS other, a.label AS la, b.label AS lb, sqrt(list_sum([x[3] * (x[1] - x[2]) ** 2 for x in list_zip(a.v, b.v, wl.w)]) / list_sum(wl.w)) AS distance, list_sum(wl.w) AS shared_weight FROM zl a JOIN zl b ON a.id % 100 = 0 AND a.id <> b.id, wl),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), other) AS place FROM d)"""
 

@@ -13,7 +13,7 @@ from .queries import _CASCADE, _PHRASES, ORACLES, QUERIES, _cascade, _phrase_spa
 _HEX = lambda at, length: f"('0x' || substr(md5(form), {at}, {length}))::INT"
 
 #: Spans of a line in order of choice, and a walk along them that keeps what is chosen so far.
-_SELECT = f"""{_PHRASES}, cs AS (SELECT sp.* FROM sp SEMI JOIN ph USING (phrase) WHERE phrase IS NOT NULL), rk AS (SELECT *, row_number() OVER (PARTITION BY work_id, line_no ORDER BY first - last, first, phrase) AS k FROM cs),
+_SELECT = f"""{_PHRASES}, cs AS (SELECT sp.* FROM sp SEMI JOIN ph USING (phrase)), rk AS (SELECT *, row_number() OVER (PARTITION BY work_id, line_no ORDER BY first - last, first, phrase) AS k FROM cs),
 walk AS (SELECT work_id, line_no, k, first, last, phrase, NULL::VARCHAR AS clash, [{{'f': first, 'l': last, 'p': phrase}}] AS taken FROM rk WHERE k = 1
 UNION ALL SELECT r.work_id, r.line_no, r.k, r.first, r.last, r.phrase, (list_filter(w.taken, lambda x: x.f <= r.last AND r.first <= x.l)[1]).p,
 CASE WHEN len(list_filter(w.taken, lambda x: x.f <= r.last AND r.first <= x.l)) = 0 THEN list_append(w.taken, {{'f': r.first, 'l': r.last, 'p': r.phrase}}) ELSE w.taken END FROM walk w JOIN rk r ON r.work_id = w.work_id AND r.line_no = w.line_no AND r.k = w.k + 1),
@@ -163,7 +163,12 @@ def phrase_component_average(spark, sf_dir):
     return lookup.phrase_component_average(phrases, base.norms(spark, sf_dir))
 
 
-@_query(None)
+_FOLD = lambda c: f"translate({c}, 'àáâãäåæçèéêëìíîïñòóôõöøœßùúûüýÿ', '0123456789!#$%&()*+,-./:;<=>?@[]')"
+
+
+@_query(f""", asked AS (SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '\\p{{L}}+')) AS w FROM benchmark)), ms AS (SELECT term, length(term) AS n, {_FOLD('term')} AS x FROM asked ANTI JOIN nm ON nm.form = asked.term),
+ls AS (SELECT form, length(form) AS m, {_FOLD('form')} AS y FROM nm), near AS (SELECT term, form, 1 - levenshtein(x, y) / greatest(n, m) AS similarity FROM ms JOIN ls ON m BETWEEN n * 0.72 - 0.001 AND n / 0.72 + 0.001)
+SELECT term, form, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY term ORDER BY similarity DESC, form)::INT AS place FROM near WHERE similarity >= 0.72 - 1e-9 AND term <> form QUALIFY place <= 8""")
 def term_suggestions(spark, sf_dir):
     asked = base.read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(base.LETTERS), 0)).alias("w")).select(F.lower("w").alias("term")).distinct()
     listed = base.norms(spark, sf_dir).select("form")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import possessive_base, ratio
-from ..operators import scores, statistics, structure
+from ..operators import matching, scores, statistics, structure
+from ..sources.tables import written
 from . import base
 from .base import CATEGORIES, ENGLISH, STATS
-from .queries import _CASCADE, _READ, _query, _readability
+from .queries import _PHRASES, _READ, _phrase_spans, _query, _readability
 
 DIMENSIONS = [f"d{i}" for i in range(1, 12)]
 _HEX = lambda at, length: f"('0x' || substr(md5(form), {at}, {length}))::INT"
@@ -89,11 +90,20 @@ def match_cascade_norms(spark, sf_dir):
     return scores.cascade(base.tagged(spark, sf_dir), _norm_table(spark, sf_dir), keys).select("work_id", "pos", "method", "term", "value")
 
 
-@_query(f""", {_CASCADE} SELECT work_id, pos, method, term FROM c""")
+#: A walk along each line's phrases, from the left and the longest first, that keeps those behind the last one kept.
+_GREEDY = f"""{_PHRASES}, cs AS (SELECT sp.* FROM sp SEMI JOIN ph USING (phrase)), gk AS (SELECT *, row_number() OVER (PARTITION BY work_id, line_no ORDER BY first, last DESC) AS k FROM cs),
+gw AS (SELECT work_id, line_no, k, first, last, phrase, true AS taken, last AS upto FROM gk WHERE k = 1
+UNION ALL SELECT r.work_id, r.line_no, r.k, r.first, r.last, r.phrase, r.first > w.upto, CASE WHEN r.first > w.upto THEN r.last ELSE w.upto END FROM gw w JOIN gk r ON r.work_id = w.work_id AND r.line_no = w.line_no AND r.k = w.k + 1),
+gs AS MATERIALIZED (SELECT work_id, first, last, phrase FROM gw WHERE taken), inside AS (SELECT work_id, unnest(range(first, last + 1)) AS pos FROM gs)"""
+
+
+@_query(f""", {_GREEDY} SELECT work_id, first, last, phrase AS term, 'phrase' AS method FROM gs
+UNION ALL SELECT e.work_id, e.pos, e.pos, coalesce(x.form, l.form), CASE WHEN x.form IS NOT NULL THEN 'exact' ELSE 'lemma' END FROM e ANTI JOIN inside i ON i.work_id = e.work_id AND i.pos = e.pos LEFT JOIN nm x ON x.form = e.form LEFT JOIN nm l ON l.form = e.lemma WHERE coalesce(x.form, l.form) IS NOT NULL""",
+        prelude=base.PRELUDE.replace("WITH wk", "WITH RECURSIVE wk", 1))
 def match_sensorimotor_unigram(spark, sf_dir):
-    single = base.norms(spark, sf_dir).filter(~F.col("form").contains(" ")).select("form", "value")
-    keys = [("exact", F.col("form")), ("possessive", possessive_base(F.col("form"))), ("lemma", F.col("lemma"))]
-    return scores.cascade(base.tagged(spark, sf_dir), single, keys).select("work_id", "pos", "method", "term")
+    """A table of single words and phrases: phrases from the left, single words outside them."""
+    chosen = written(matching.phrase_select_greedy(_phrase_spans(spark, sf_dir)), "greedy-phrases")
+    return matching.match_multiword(base.tagged(spark, sf_dir), chosen, base.norms(spark, sf_dir).select("form"))
 
 
 def _sensorimotor(spark, sf_dir):

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from quire.llm.divergence import _filled, chunk_counts, divergence_audit, kept_counts
+from quire.llm.divergence import _filled, chunk_counts, chunk_table, divergence_audit, kept_counts, numbered_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -68,11 +68,14 @@ def test_documents_between_the_bounds(spark):
     # "ab" stands in 4 documents as two chunks each, and in the other 5 as one of three chunks: 9 documents, 4 at least, 13 at most
     rows = [(i, "ab ab, x", "en", "s") for i in range(4)] + [(9 + i, t + " x", "en", "s") for i, t in enumerate(["AB", "(ab)", "ab-", "AB", "(ab)"])]
     docs = spark.createDataFrame(rows, SCHEMA)
-    terms = lambda least: {x.term for x in kept_counts(_filled(docs), least).collect()}
+    filled = _filled(docs.repartition(3))
+    groups = numbered_groups(filled)
+    terms = lambda least: {x.term for x in kept_counts(filled, groups, least).collect()}
     assert terms(9) == {"ab", "x"}
     assert terms(10) == set()
-    chunk = {x.chunk: (x.docs, x.n) for x in chunk_counts(_filled(docs)).collect()}
-    assert chunk["ab"] == (4, 4) and chunk["x"] == (9, 9)
+    table = chunk_table(chunk_counts(filled.join(groups, ["lang", "source"]))).collect()
+    chunk = {x.chunk: (x.terms, x.ks, x.docs, x.ns) for x in table}
+    assert len(table) == len(chunk) and chunk["ab"] == (["ab"], [1], [4], [4]) and chunk["x"] == (["x"], [1], [9], [9])
 
 
 def test_clashing_columns_long_texts_and_empty_table(spark):

@@ -46,9 +46,8 @@ def test_lines_stanzas_and_phrases(spark):
     works = spark.createDataFrame([(1, "a b\r\n\r\n  very dark night\nsome one\n")], "work_id int, text string")
     lines = structure.stanzas(structure.lines(works)).orderBy("line_no").collect()
     assert [(r.line, r.is_blank, r.indent, r.stanza_no) for r in lines] == [("a b", False, 0, 1), ("", True, 0, 0), ("  very dark night", False, 2, 2), ("some one", False, 0, 2)]
-    tokens = structure.tokens(structure.lines(works))
     phrases = spark.createDataFrame([("very dark night",), ("dark night",), ("night some",)], "phrase string")
-    got = {r.phrase: (r.selected, r.suppressed_by) for r in matching.phrase_select_longest(matching.phrase_candidates(tokens, phrases, [2, 3])).collect()}
+    got = {r.phrase: (r.selected, r.suppressed_by) for r in matching.phrase_select_longest(matching.phrase_candidates(works, phrases, "[a-z]+")).collect()}
     assert got == {"very dark night": (True, None), "dark night": (False, "very dark night")}
 
 
