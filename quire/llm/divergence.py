@@ -3,12 +3,13 @@ r"""How far the sources of a language are from each other and from their languag
 A term is a run of letters and of characters outside ASCII, ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``, A-Z
 lower-cased.  White space ends a term, so a text's terms are those of its white-space chunks:
 
-1. ``chunk_counts``: each document's chunks are counted, and a batch's counts of one language and source added
-   up before they travel: (lang, source, chunk, documents, occurrences).
-2. Each globally distinct chunk gets a number and is cut into terms once, whatever its number of uses.
-3. Its terms join the counts by that number.  Occurrences of a term are a sum.  A document that holds a term
-   in two chunks would count twice, so documents are bounded from both sides: at least those of the term's
-   commonest chunk in each source, at most the sum of all its chunks.
+1. ``chunk_counts``: each document's chunks are counted, and a batch's counts added up by group (language and
+   source) before they travel, a row a chunk.
+2. ``chunk_table``: the task that owns a chunk adds up its rows and cuts it into terms once, whatever its number of
+   uses: a row for each globally distinct chunk, its terms and its counts by group.
+3. Its terms join its counts.  Occurrences of a term are a sum.  A document that holds a term in two chunks
+   would count twice, so documents are bounded from both sides: at least those of the term's commonest chunk in
+   each group, at most the sum of all its chunks.
 4. Where ``min_docs`` lies between the bounds, and only there, documents are read again: those chunks meet
    their terms, and distinct documents are counted.  A Bloom filter of ``bits`` bits keeps most other chunks
    out of that join; the join decides.
@@ -30,7 +31,10 @@ other than text, lang and source are ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +43,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import lower_ascii, shuffle_width, stored
 from .chunks import _sliced
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _filled(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
+def numbered_groups(filled: DataFrame) -> DataFrame:
+    """(lang, source, g): a number for each group that occurs, stored, so that joins with it go by its true size."""
+    return stored(filled.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()), "group-numbers")
+
+
 def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """For each chunk its text's number and its place among the distinct chunks, which come last."""
     lists = pc.ascii_split_whitespace(texts)
@@ -57,35 +65,76 @@ def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), coded.indices.to_numpy(), coded.dictionary
 
 
+_COUNTS = "chunk string, gs array<bigint>, docs array<bigint>, ns array<bigint>"
+
+
+def _lists(starts: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    offsets = pa.array(np.append(starts, len(values[0])).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int64))) for v in values]
+
+
 def chunk_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, chunk, docs, n), summed up over the table.  ``docs``: lang, source, text without nulls."""
+    """(chunk, gs, docs, ns): a row for each chunk of a batch, with the groups that have it there, their documents and
+    its occurrences.  ``docs``: g and text without nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
-            wide, first = len(source.dictionary), 0
-            group_of = lang.indices.to_numpy().astype(np.int64) * wide + source.indices.to_numpy()
+            names, group_of, first = *np.unique(batch.column("g").to_numpy(), return_inverse=True), 0
             for texts in _sliced(batch.column("text"), 16 << 20):
                 at, chunk, distinct = _cut(texts)
                 size = max(1, len(distinct))
-                keys, times = np.unique(at * size + chunk, return_counts=True)
-                groups, where = np.unique(group_of[first + keys // size] * size + keys % size, return_inverse=True)
+                keys, times = np.unique(at * size + chunk, return_counts=True)  # a document's chunk once
+                own, where = np.unique(keys % size * len(names) + group_of[first + keys // size], return_inverse=True)
                 first += len(texts)
-                n = np.zeros(len(groups), np.int64)
-                np.add.at(n, where, times)
-                g = groups // size
-                columns = [lang.dictionary.take(pa.array(g // wide)), source.dictionary.take(pa.array(g % wide)), distinct.take(pa.array(groups % size)), pa.array(np.bincount(where, minlength=len(groups))), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "chunk", "docs", "n"])
-
-    each = docs.mapInArrow(run, "lang string, source string, chunk string, docs bigint, n bigint").filter("chunk <> ''")
-    return each.groupBy("lang", "source", "chunk").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+                if not len(own):
+                    continue
+                chunks, starts = np.unique(own // len(names), return_index=True)
+                n = np.bincount(where, times, len(own))  # whole numbers far below 2**53
+                yield pa.RecordBatch.from_arrays([distinct.take(pa.array(chunks)), *_lists(starts, names[own % len(names)], np.bincount(where, minlength=len(own)), n)], names=["chunk", "gs", "docs", "ns"])
+
+    return docs.select("g", "text").mapInArrow(run, _COUNTS).filter("chunk <> ''")
+
+
+_WORD = re.compile(TERM)
+
+
+def chunk_table(counts: DataFrame) -> DataFrame:
+    """(chunk, terms, ks, gs, docs, ns): a row for each globally distinct chunk that holds a term, its counts by group
+    added up, and its terms, cut once, with how often it holds them.  The task that owns a range of chunks streams them
+    in order and holds the rows of a batch and of one more chunk."""
+
+    def added(rows: pa.Table) -> pa.RecordBatch:
+        coded = rows.column("chunk").combine_chunks().dictionary_encode()
+        flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy()
+        of = np.repeat(coded.indices.to_numpy(), pc.list_value_length(rows.column("gs")).to_numpy())
+        g = flat("gs")
+        order = np.lexsort((g, of))
+        of, g = of[order], g[order]
+        begin = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (g[1:] != g[:-1])]))
+        sums = [np.add.reduceat(flat(c)[order], begin) for c in ("docs", "ns")]
+        _, starts = np.unique(of[begin], return_index=True)
+        terms = [Counter(_WORD.findall(lower_ascii(c))) for c in coded.dictionary.to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
+        listed = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(list(chain.from_iterable(values)), kind)) for values, kind in ((terms, pa.string()), ((t.values() for t in terms), pa.int64()))]
+        whole = pa.RecordBatch.from_arrays([coded.dictionary, *listed, *_lists(starts, g[begin], *sums)], names=["chunk", "terms", "ks", "gs", "docs", "ns"])
+        return whole.filter(pa.array(ends[1:] > ends[:-1]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            chunk = rows.column("chunk")
+            last = rows.num_rows - pc.sum(pc.equal(chunk, chunk[-1])).as_py()
+            if last:
+                yield added(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None:
+            yield added(held)
 
-def chunk_terms(numbered: DataFrame) -> DataFrame:
-    """(id, term, k): each distinct chunk's terms and how often it holds them."""
-    terms = F.regexp_extract_all("chunk", F.lit(f"({TERM})"), F.lit(1))
-    each = numbered.select("id", F.explode(terms).alias("term")).select("id", F.translate("term", _UPPER, _LOWER).alias("term"))
-    return each.groupBy("id", "term").agg(F.count("*").alias("k"))
+    dealt = counts.repartition(shuffle_width(counts.sparkSession), "chunk").sortWithinPartitions("chunk")
+    return dealt.mapInArrow(run, "chunk string, terms array<string>, ks array<bigint>, gs array<bigint>, docs array<bigint>, ns array<bigint>")
 
 
 def _slots(chunks: pa.Array, bits: int) -> np.ndarray:
@@ -129,23 +178,21 @@ def _exact_docs(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     return met.groupBy("lang", "term").agg(F.count("*").alias("docs"))
 
 
-def kept_counts(docs: DataFrame, min_docs: int = 30, bits: int = 1 << 23) -> DataFrame:
-    """(lang, source, term, n > 0) of the terms that each language keeps, stored.  ``docs``: from ``_filled``."""
-    counts = stored(chunk_counts(docs), "chunk-counts")
-    numbered = stored(counts.select("chunk").distinct().withColumn("id", F.monotonically_increasing_id()), "chunks")
-    terms = stored(chunk_terms(numbered), "chunk-terms")
-    used = stored(counts.join(numbered.hint("shuffle_merge"), "chunk").select("lang", "source", "id", "docs", "n"), "chunk-uses")
-    each = used.join(terms.hint("shuffle_merge"), "id").groupBy("lang", "source", "term")
-    found = stored(each.agg(F.sum(F.col("n") * F.col("k")).alias("n"), F.max("docs").alias("least"), F.sum("docs").alias("most")), "term-counts")
+def kept_counts(docs: DataFrame, groups: DataFrame, min_docs: int = 30, bits: int = 1 << 23) -> DataFrame:
+    """(lang, source, term, n > 0) of the terms that each language keeps, stored.  ``docs``: from ``_filled``;
+    ``groups``: from ``numbered_groups``."""
+    chunks = stored(chunk_table(chunk_counts(docs.join(groups, ["lang", "source"]))), "chunks")
+    each = chunks.select(F.explode(F.arrays_zip("terms", "ks")).alias("t"), "gs", "docs", "ns").select("t.terms", "t.ks", F.explode(F.arrays_zip("gs", "docs", "ns")).alias("u"))
+    each = each.select(F.col("u.gs").alias("g"), F.col("terms").alias("term"), (F.col("u.ns") * F.col("ks")).alias("n"), F.col("u.docs").alias("docs"))
+    counted = each.groupBy("g", "term").agg(F.sum("n").alias("n"), F.max("docs").alias("least"), F.sum("docs").alias("most"))
+    found = stored(counted.join(groups, "g").drop("g"), "term-counts")
 
     bounds = stored(found.groupBy("lang", "term").agg(F.sum("least").alias("least"), F.sum("most").alias("most")).filter(F.col("most") >= min_docs), "term-bounds")
-    kept, open_ = bounds.filter(F.col("least") >= min_docs).select("lang", "term"), bounds.filter(F.col("least") < min_docs).select("lang", "term")
+    kept, open_ = bounds.filter(F.col("least") >= min_docs).select("lang", "term"), stored(bounds.filter(F.col("least") < min_docs).select("lang", "term"), "open-terms")
     if not open_.isEmpty():
-        ids = terms.join(open_.select("term").distinct().hint("shuffle_merge"), "term").select("id", "term")
-        pairs = used.select("lang", "id").distinct().join(ids.hint("shuffle_merge"), "id").join(open_.hint("shuffle_merge"), ["lang", "term"])
-        wanted = stored(pairs.join(numbered.hint("shuffle_merge"), "id").select("lang", "chunk", "term"), "open-chunks")
+        wanted = stored(chunks.select("chunk", F.explode("terms").alias("term")).join(open_, "term").select("lang", "chunk", "term"), "open-chunks")
         kept = kept.union(_exact_docs(docs, wanted, bits).filter(F.col("docs") >= min_docs).select("lang", "term"))
-    return stored(found.join(stored(kept, "kept-terms").hint("shuffle_merge"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n"), "kept-counts")
+    return stored(found.join(stored(kept, "kept-terms"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n"), "kept-counts")
 
 
 def _p_sql(count: str, total: str) -> str:
@@ -195,11 +242,12 @@ def _pair_sums(rows: DataFrame) -> DataFrame:
 def divergence_audit(docs: DataFrame, min_docs: int = 30, top: int = 50, bits: int = 1 << 23) -> DataFrame:
     """lang, source, part, item, value, rank."""
     filled = _filled(docs)
-    kept = kept_counts(filled, min_docs, bits)
+    numbers = numbered_groups(filled)
+    kept = kept_counts(filled, numbers, min_docs, bits)
     whole = stored(kept.groupBy("lang", "term").agg(F.sum("n").alias("whole")), "term-totals")
     langs = whole.groupBy("lang").agg(F.sum("whole").alias("lang_total"), F.count("*").alias("v"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = filled.select("lang", "source").distinct().join(own.hint("shuffle_merge"), ["lang", "source"], "left").join(langs.hint("shuffle_merge"), "lang", "left")
+    groups = numbers.drop("g").join(own.hint("shuffle_merge"), ["lang", "source"], "left").join(langs.hint("shuffle_merge"), "lang", "left")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1  # a row a source
     groups = stored(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "lang_total", "v")], place.alias("at")), "groups")
 
