@@ -70,7 +70,9 @@ def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixing_plan
 
-    return mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "epoch", "tokens", "block", "place", F.round("weight", 9).alias("weight"))
+    # half of the way to equal weights, no source repeated over four times as often as another, no document left out
+    plan = mixing_plan(table(spark, sf_dir, "documents"), budget_share=None, target_entropy=None, keep_gap=0.5, max_repeats=4.0)
+    return plan.select("doc_id", "source", "epoch", "tokens", "block", "place", F.round("weight", 9).alias("weight"), F.round("share", 9).alias("share"), "met")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,44 @@ def test_documents_and_edge_tables(spark):
     assert mixing_plan(docs.limit(0)).count() == 0 and mixed_documents(docs.filter("source = 'empty'")).count() == 0
     again = docs.filter("doc_id < 5").union(docs.filter("doc_id < 5")).withColumn("source", F.lit(None).cast("string"))
     assert mixed_documents(again, target_entropy=None).count() == 10
+
+
+def test_exponents_above_one_and_targets_out_of_reach(spark):
+    shares = source_shares(spark.createDataFrame([("a", 400.0), ("b", 300.0), ("c", 300.0)], "source string, tokens double"))
+    p = [0.4, 0.3, 0.3]
+
+    def entropy(a):
+        w = [x**a / sum(y**a for y in p) for x in p]
+        return -sum(x * math.log(x) for x in w) / math.log(3)
+
+    for target in (0.97, 0.6, 0.05):
+        found = find_exponent(shares, 1000.0, target, None)
+        assert found > 1 and entropy(found) == pytest.approx(target, abs=1e-5)
+    even = source_shares(spark.createDataFrame([("a", 5.0), ("b", 5.0)], "source string, tokens double"))
+    assert find_exponent(even, 10.0, 0.9, None) == 1.0
+    docs = spark.createDataFrame([(i, "w w w", "ab"[i % 2]) for i in range(8)], "doc_id long, text string, source string")
+    plan = mixing_plan(docs, target_entropy=0.9).collect()
+    assert len(plan) == 8 and {r.met for r in plan} == {False} and {r.weight for r in plan} == {0.5}
+
+
+def test_part_of_the_gap(spark):
+    rows = rows_of()
+    plan = mixing_plan(table(spark, rows), budget_share=None, target_entropy=None, keep_gap=0.5, max_repeats=None).collect()
+    weight, share = ({r.source: getattr(r, c) for r in plan} for c in ("weight", "share"))
+    h = lambda w: -sum(x * math.log(x) for x in w.values()) / math.log(len(w))
+    assert 1 - h(weight) == pytest.approx((1 - h(share)) / 2, abs=1e-5) and {r.met for r in plan} == {True}
+    assert weight["hot"] < share["hot"] and {r.doc_id for r in plan} == {i for i, t, _ in rows if (t or "").split()}
+
+
+def test_copies_of_rows_are_dealt_exactly_and_names_clash(spark):
+    rows = [(1, "w w", "small", 7, "x")] * 5 + [(2, "w w", "small", 7, "x"), (1, "w w", "small", 8, "x")] + [(10 + i, "w " * 20, "large", 0, None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, uses int, rows string").selectExpr("*", "1 AS _use", "2 AS p", "3 AS q", "'s' AS row", "1.5D AS print", "0 AS use").repartition(3)
+    settings = {"budget_share": None, "target_entropy": 0.999, "max_repeats": None}
+    plan = Counter((r.doc_id, r.source) for r in mixing_plan(docs, **settings).collect())
+    mixed = mixed_documents(docs, **settings)
+    assert mixed.columns == docs.columns
+    found = Counter(tuple(r) for r in mixed.collect())
+    assert sum(n for r, n in found.items() if r[2] == "small") == sum(n for (_, s), n in plan.items() if s == "small") > 14
+    assert set(found) == {tuple(r) for r in docs.collect()}
+    first, other = found[next(r for r in found if r[3] == 7 and r[0] == 1)], found[next(r for r in found if r[3] == 8)]
+    assert first >= 5 * (other - 1)
