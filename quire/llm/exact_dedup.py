@@ -161,6 +161,7 @@ def exact_groups(docs: DataFrame, capacity: int = 4096, key_bits: int = 64) -> D
 def drop_copies(spark: SparkSession, docs: DataFrame, capacity: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay, one for each text; of rows with the same id and text one stays."""
     kept = _grouped(docs, capacity, 64).filter("kept").groupBy("doc_id", "digest").agg(F.min("print").alias("print")).select("doc_id", "print")
-    d, k = docs.withColumn("_print", F.xxhash64("text")).alias("d"), kept.hint("shuffle_merge").alias("k")
-    stay = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._print") == F.col("k.print")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_print"]).drop("_print")
+    # a row travels as one column, so that no name of its own can clash
+    d, k = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("print")).alias("d"), kept.hint("shuffle_merge").alias("k")
+    stay = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.print") == F.col("k.print")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "print"]).select("row.*")

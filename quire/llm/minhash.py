@@ -271,6 +271,7 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, **settin
     named = _components(docs, size, percent, **({"parts": 16, "width": 3, "seed": 11, "small": 32} | settings))
     first = named.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("at"))
     kept = first.select("at.doc_id", "at.print").union(named.filter("root is null").select("doc_id", "print").distinct())
-    d, k = docs.withColumn("_print", F.xxhash64("text")).alias("d"), kept.hint("shuffle_merge").alias("k")
-    stay = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._print") == F.col("k.print")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_print"]).drop("_print")
+    # a row travels as one column, so that no name of its own can clash
+    d, k = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("print")).alias("d"), kept.hint("shuffle_merge").alias("k")
+    stay = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.print") == F.col("k.print")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "print"]).select("row.*")
