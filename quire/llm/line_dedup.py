@@ -150,23 +150,23 @@ def without_repeated_lines(docs: DataFrame, percent: int = 80, **settings) -> Da
     """The columns of ``docs`` with the text's repeated lines taken out, and n_lines, n_removed, n_links:
     lines with a word, those removed, and links of its lines' classes to classes of other sets."""
     lines = repeated_lines(docs, percent, **settings).drop("v").distinct()
-    cut = lines.groupBy("doc_id", "print").agg(F.count("*").alias("_lines"), F.sum("degree").alias("_links"), F.collect_list(F.when(F.col("removed"), F.col("line_no"))).alias("_cut"))
-    touched = stored(cut.filter("_links > 0 or size(_cut) > 0"), "line-cuts")
+    cut = lines.groupBy("doc_id", "print").agg(F.count("*").alias("lines"), F.sum("degree").alias("links"), F.collect_list(F.when(F.col("removed"), F.col("line_no"))).alias("cut"))
+    touched = stored(cut.filter("links > 0 or size(cut) > 0"), "line-cuts")
     held = docs.sparkSession.sparkContext.broadcast(_filter_of(touched.select(F.col("print").alias("x")), _filter_bits(touched.count())))
 
     @F.pandas_udf("boolean")
     def maybe_touched(prints: pd.Series) -> pd.Series:
         return pd.Series(_passes(held.value, prints.to_numpy()))
 
-    # texts that keep all their lines, and have no links, stay where they are
-    marked = docs.withColumn("_print", F.xxhash64("text")).withColumn("_touched", maybe_touched("_print"))
-    d, c = marked.filter("_touched").alias("d"), touched.hint("shuffle_merge").alias("c")
-    joined = d.join(c, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._print") == F.col("c.print")), "left")
-    stay = F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("_cut", i))
-    text = F.when(F.size("_cut") > 0, F.array_join(stay, "\n")).otherwise(F.col("d.text"))
-    counts = {"n_lines": worded_of("text"), "n_removed": F.lit(0).cast("bigint"), "n_links": F.lit(0).cast("bigint")}
+    # texts that keep all their lines, and have no links, stay where they are; a row travels as one column, so that no name of its own can clash
+    marked = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("print")).withColumn("touched", maybe_touched("print"))
+    d, c = marked.filter("touched").alias("d"), touched.hint("shuffle_merge").alias("c")
+    joined = d.join(c, F.col("d.row.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.print") == F.col("c.print")), "left")
+    stay = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("cut", i))
+    text = F.when(F.size("cut") > 0, F.array_join(stay, "\n")).otherwise(F.col("row.text"))
+    counts = {"n_lines": worded_of("row.text"), "n_removed": F.lit(0).cast("bigint"), "n_links": F.lit(0).cast("bigint")}
     names = [n for n in docs.columns if n not in counts]
-    parts = {"n_removed": F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("bigint"), "n_links": F.coalesce("_links", F.lit(0)).cast("bigint")}
-    moved = joined.select(*[(text if n == "text" else F.col(f"d.`{n}`")).alias(n) for n in names], F.coalesce("_lines", worded_of("d.text")).alias("n_lines"), *[x.alias(n) for n, x in parts.items()])
-    rest = marked.filter("not _touched").select(*[f"`{n}`" for n in names], *[x.alias(n) for n, x in counts.items()])
+    parts = {"n_removed": F.when(F.col("cut").isNull(), 0).otherwise(F.size("cut")).cast("bigint"), "n_links": F.coalesce("links", F.lit(0)).cast("bigint")}
+    moved = joined.select(*[(text if n == "text" else F.col(f"row.`{n}`")).alias(n) for n in names], F.coalesce("lines", worded_of("row.text")).alias("n_lines"), *[x.alias(n) for n, x in parts.items()])
+    rest = marked.filter("not touched").select(*[F.col(f"row.`{n}`").alias(n) for n in names], *[x.alias(n) for n, x in counts.items()])
     return moved.unionByName(rest)
