@@ -29,6 +29,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,13 @@ _DIGIT = re.compile("[0-9]")
 _CANDIDATES = [
     (0, re.compile(r"(?<![^\s:=,;\"'()<>\[\]{}|])[^\s@:=,;\"'()<>\[\]{}|]{2,64}(?:@|\(at\)|\[at\])[^\s@:=,;\"'()<>\[\]{}|]{3,64}"), 0),
     (1, re.compile(r"(?<![0-9A-Za-z.:*])(?=[0-9a-fA-F*x]{0,4}[.:])[0-9a-fA-F*x]{0,4}(?:[:.][0-9a-fA-F*x]{0,4}){3,7}(?![0-9A-Za-z*])"), 2),
-    (2, re.compile(r"(?<![0-9*xX])[0-9*xX]{2,6}(?:[ -]?[0-9*xX]{2,6}){2,6}(?![0-9A-Za-z*])"), 12),
-    (3, re.compile(r"(?<![0-9A-Za-z*+(])[+(]{0,2}[0-9*xX]{1,5}(?:[ ().*/-]{1,2}[0-9*xX]{1,5}){1,5}(?![0-9A-Za-z*])"), 7),
+    (3, re.compile(r"(?<![0-9A-Za-z*+(])[+(]{0,2}[0-9*xX]{1,5}(?:[ ()./-]{1,2}[0-9*xX]{1,5}){1,5}(?![0-9A-Za-z*])"), 7),
 ]
+#: Runs of digits and masks with one space or hyphen between, and what cards are made of: three to seven pieces of two to
+#: six, a run being one or more of them.
+_RUNS = re.compile(r"(?<![0-9*xX])[0-9*xX]++(?:[ -][0-9*xX]++)*+")
+_RUN = re.compile(r"[0-9*xX]++")
+_PIECES, _PIECE, _LEAST_CARD = (3, 7), (2, 6), 12
 _COUNTED = frozenset("0123456789*xX")
 _PUNCTUATION = ":=,;\"'()<>[]{}|"
 _CONTEXT_WORD = re.compile(r"[^\x20\x09-\x0d" + re.escape(_PUNCTUATION) + "]+")
@@ -139,17 +144,34 @@ class _Words:
         return [int(x[0]) for x in map(signed, _keys(*(np.array([x], np.uint64) for x in (before[0], before[1], after))))]
 
 
+def _card_like(text: str) -> Iterator[tuple[int, int]]:
+    """Places that look like cards: from each run of digits and masks, as many runs as make up a card; each run is read once
+    or twice."""
+    for m in _RUNS.finditer(text):
+        runs = [r.span() for r in _RUN.finditer(text, m.start(), m.end())]
+        if text[m.end() : m.end() + 1].isalpha() and text[m.end()].isascii():  # what a letter follows ends no card
+            runs.pop()
+        i = 0
+        while i < len(runs):
+            j, least, most = i, 0, 0
+            while j < len(runs) and (size := runs[j][1] - runs[j][0]) >= _PIECE[0] and least - (-size // _PIECE[1]) <= _PIECES[1]:
+                least, most, j = least - (-size // _PIECE[1]), most + size // _PIECE[0], j + 1
+            if most >= _PIECES[0]:
+                yield runs[i][0], runs[j - 1][1]
+            i = max(j, i + 1)
+
+
 def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of places that look like identifiers and overlap none of ``taken``, which ascend."""
     found, starts = [], [a for a, _ in taken]
-    for kind, pattern, least in _CANDIDATES:
-        for m in pattern.finditer(text):
-            start, end = m.start(), m.end() - (len(m[0]) - len(m[0].rstrip(".,;:!?")))
-            if sum(c in _COUNTED for c in text[start:end]) < least:
-                continue
-            at = bisect_left(starts, end)
-            if not any(a < end and start < b for a, b in taken[max(0, at - 4) : at]):
-                found.append((start, kind, end))
+    reach = list(accumulate((b for _, b in taken), max))  # how far the first places go
+    places = [(kind, least, m.start(), m.end() - (len(m[0]) - len(m[0].rstrip(".,;:!?")))) for kind, pattern, least in _CANDIDATES for m in pattern.finditer(text)]
+    for kind, least, start, end in chain(places, ((2, _LEAST_CARD, a, b) for a, b in _card_like(text))):
+        if sum(c in _COUNTED for c in text[start:end]) < least:
+            continue
+        at = bisect_left(starts, end)
+        if not at or reach[at - 1] <= start:
+            found.append((start, kind, end))
     return sorted(found)
 
 

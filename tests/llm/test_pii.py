@@ -7,8 +7,9 @@ import time
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from quire.llm.pii import KINDS, _Words, base_spans, induced, joined, luhn, occurrences, personal_data, scored, strengths
+from quire.llm.pii import KINDS, _Words, base_spans, candidates, induced, joined, luhn, occurrences, personal_data, scored, strengths
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -144,3 +145,22 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "nothing here")], "doc_id long, text string")
     assert personal_data(docs.limit(0)).count() == 0
     assert [tuple(r) for r in personal_data(docs).collect()] == [(1, 0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0)]
+
+
+@pytest.mark.parametrize("piece", ["0" * 43 + "a ", "0" * 43 + " ", "*" * 43 + "a ", "00 " * 14 + "a ", "0-" * 20, "x" * 30 + "@", "+" * 40, "(0" * 20 + " ", "f:" * 20 + "g ", "1." * 20 + "a"])
+def test_candidates_take_linear_time(piece):
+    text = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    candidates(text, [])
+    candidates(text.replace(" ", ""), [])
+    assert time.process_time() - start < 8  # two megabytes
+
+
+def test_cards_and_overlaps():
+    cards = lambda t: [t[a:b] for a, k, b in candidates(t, []) if k == 2]
+    assert cards("a 4111 1111 1111 1111 b") == ["4111 1111 1111 1111"]
+    assert cards("4111-xxxx-xxxx-1111.") == ["4111-xxxx-xxxx-1111"] and cards("0" * 16) == ["0" * 16]
+    assert cards("0" * 43) == [] and cards("12 345") == [] and cards("1234 5678 9012a 11") == []
+    assert cards(" ".join(["0000"] * 9)) == [" ".join(["0000"] * 7)]
+    text = "4111 1111 1111 1111"
+    assert candidates(text, [(0, 30), (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (3, 5)]) == []  # the first of many that begin before it reaches over it
