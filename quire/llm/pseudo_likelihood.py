@@ -93,6 +93,8 @@ def numbered(hashes: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.nda
 def encode(docs: DataFrame, words: np.ndarray, n: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """(row, doc_id, ids, rare) of every document: ids as two bytes a token, and the hashes of rare words;
     and for each of ``words`` how often each of the FEATURES most frequent ones stands left and right of it."""
+    if len(words) + SHAPES > 1 << 16:
+        raise ValueError(f"a vocabulary of at most {(1 << 16) - SHAPES} words has ids of two bytes")
     shared = docs.sparkSession.sparkContext.broadcast(words)
     feature = np.full(len(words) + SHAPES, -1, np.int64)
     top = np.lexsort((words, -n))[:FEATURES]

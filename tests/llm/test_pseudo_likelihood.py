@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from quire.llm.hashing import hashed_words
-from quire.llm.pseudo_likelihood import Window, learn, numbered, pseudo_likelihoods, score, score_documents, word_counts
+from quire.llm.pseudo_likelihood import Window, encode, learn, numbered, pseudo_likelihoods, score, score_documents, word_counts
 
 SCHEMA = "doc_id long, text string"
 SMALL = {"vocabulary": 15, "alone": 3, "together": 5, "hidden": 6, "steps": 40}
@@ -133,3 +133,8 @@ def test_gradients():
 def test_empty(spark):
     assert pseudo_likelihoods(spark.createDataFrame([], SCHEMA), **SMALL).count() == 0
     assert [tuple(r) for r in pseudo_likelihoods(spark.createDataFrame([(1, None)], SCHEMA), **SMALL).collect()] == [(1, 0, 0.0, None)]
+
+
+def test_a_vocabulary_beyond_two_bytes_is_refused(spark):
+    with pytest.raises(ValueError, match="two bytes"):
+        encode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), np.arange(65_530, dtype=np.uint64), np.ones(65_530, np.int64))
