@@ -4,7 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from quire.operators import exports, forms, lookup, meter, phonology, review, sound, structure
+from quire.operators import exports, lookup, meter, phonology, review, sound, structure
 from quire.sources import files
 
 
@@ -78,19 +78,6 @@ def test_stress_variants_and_best_template(spark):
     assert {r.form: r.score for r in meter.form_shape(fitted, {"sonnet": ("iambic", 5)}).collect()}["sonnet"] > 0
 
 
-def test_forms(spark):
-    couplet = "the cat\nthe hat\n\na cold night\nso bright"
-    works = spark.createDataFrame([(1, couplet)], "work_id long, text string")
-    obs = forms.observations(structure.stanzas(structure.lines(works)))
-    row = obs.first()
-    assert (row.stanzas, row.endings, row.initials, row.labels) == ([2, 2], ["cat", "hat", "night", "bright"], ["t", "t", "a", "s"], ["at", "at", "ht", "ht"])
-    registry = {"couplets": [("stanzas", "stanzas", 2.0, True, forms.uniform_stanzas(2)), ("rhyme", "rhyme", 1.0, False, forms.couplets())], "sonnet": [("lines", "counts", 1.0, True, forms.line_count(14)), ("rotation", "rotation", 1.0, True, forms.rotation())]}
-    found = {r.form: r for r in forms.candidates(forms.score_rules(obs, registry)).collect()}
-    assert (found["couplets"].consistency, found["couplets"]["class"], found["couplets"].place) == (1.0, "Strict", 1)
-    assert found["sonnet"].consistency == 0 and found["sonnet"].evidence == 0.5 and found["sonnet"]["class"] == "No match"
-    assert forms.observations(structure.stanzas(structure.lines(works.limit(0)))).count() == 0
-
-
 def test_appended_works(spark):
     corpus = spark.createDataFrame([("a/One.txt", "x")], "path string, text string")
     new = spark.createDataFrame([("a/one.txt", "y"), ("a/two.txt", "z"), ("a/three.doc", "z"), ("../b.txt", "z"), ("a/four.txt", " "), ("a/five.txt", "1"), ("A/FIVE.txt", "2")], "path string, text string")
