@@ -141,7 +141,7 @@ _at = "[k for k in range(1, n + 1) if k <= 2 OR k % 2 = 0]"
 _tail = lambda x, k: f"{x}[len({x}) - {k} + 1:]"
 _holds = lambda i, k: f"(len(lines[{i}]) >= {k} AND {_tail(f'lines[{i}]', k)} = {_tail('lines[1]', k)})"
 _RIMES = f"[qafias[i][k] for i in {_at} if {_holds('i', 'k')} AND len(lines[i]) > k AND qafias[i][k] IS NOT NULL]"
-_RADIF = f"""(SELECT CASE WHEN len({_at}) < 4 THEN NULL WHEN support < 0.5 THEN support WHEN len(rimes) >= 2 THEN 0.65 * support + 0.35 * list_avg([CASE WHEN r = rimes[1] THEN 1.0 ELSE {_like('rimes[1]', 'r')} * 0.6 END for r in rimes[2:]]) ELSE support END AS score, CASE WHEN len({_at}) < 4 THEN len({_at}) / 6 WHEN support < 0.5 THEN 1.0 ELSE 0.65 + 0.35 * len(rimes) / len({_at}) END AS coverage
+_RADIF = f"""(SELECT CASE WHEN len({_at}) < 4 THEN NULL WHEN support < 0.5 THEN support WHEN len(rimes) >= 2 THEN 0.65 * support + 0.35 * list_avg([CASE WHEN rimes[y] = rimes[1] THEN 1.0 ELSE {_like('rimes[1]', 'rimes[y]')} * 0.6 END for y in range(2, len(rimes) + 1)]) ELSE support END AS score, CASE WHEN len({_at}) < 4 THEN len({_at}) / 6 WHEN support < 0.5 THEN 1.0 ELSE 0.65 + 0.35 * len(rimes) / len({_at}) END AS coverage
 FROM (SELECT round(b.s - 0.01 * k, 12) AS support, {_RIMES} AS rimes FROM (SELECT b, -b.less AS k FROM (SELECT list_sort([{{'s': len([1 for i in {_at} if {_holds('i', 'z')}]) / len({_at}) + 0.01 * z, 'less': -z}} for z in [1, 2, 3, 4] if z <= len(lines[1])], 'DESC')[1] AS b))))"""
 _SEED = "list_distinct(endings[1:6])"
 _envoi = lambda order: "(" + " + ".join(f"(endings[{37 + k}] = endings[{s + 1}])::INT" for k, s in enumerate(order)) + ") / 3"
