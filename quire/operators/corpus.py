@@ -11,26 +11,51 @@ from ..functions.columns import ratio
 
 
 def corpus_manifest(works: DataFrame) -> DataFrame:
-    """Bytes, hash, characters, lines and words of each work."""
+    """Bytes, hashes of the text and of its canonical form (line ends as \\n), characters, lines, words and, in order, the warning
+    codes that the work alone gives."""
     lines = F.split("text", "\n")
     words = F.size(F.regexp_extract_all("text", F.lit("\\p{L}+"), 0))
-    return works.select("work_id", "poet", F.octet_length("text").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.char_length("text").alias("chars"), F.size(lines).alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("filled_lines"), words.alias("words"))
+    rows = works.select("work_id", "poet", F.octet_length("text").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.sha2(F.regexp_replace("text", "\r\n|\r", "\n").cast("binary"), 256).alias("canonical_sha256"), F.char_length("text").alias("chars"), F.size(lines).alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).alias("filled_lines"), words.alias("words"))
+    codes = F.array(F.when(F.col("words") == 0, "empty"), F.when((F.col("words") > 5000) | (F.col("filled_lines") > 500), "long"), F.when((F.col("words") > 0) & ((F.col("words") < 20) | (F.col("filled_lines") < 4)), "short"))
+    return rows.withColumn("codes", F.filter(codes, lambda c: c.isNotNull()))
 
 
 def corpus_issues(manifest: DataFrame) -> DataFrame:
-    """(work_id, level, code): empty, short, long and duplicate works."""
-    same = F.count("*").over(Window.partitionBy("sha256"))
-    checks = F.array(
-        F.when(F.col("words") == 0, F.struct(F.lit("error").alias("level"), F.lit("empty").alias("code"))),
-        F.when((F.col("words") > 0) & ((F.col("words") < 20) | (F.col("filled_lines") < 4)), F.struct(F.lit("warning").alias("level"), F.lit("short").alias("code"))),
-        F.when((F.col("words") > 5000) | (F.col("filled_lines") > 500), F.struct(F.lit("warning").alias("level"), F.lit("long").alias("code"))),
-        F.when(F.col("same") > 1, F.struct(F.lit("warning").alias("level"), F.lit("duplicate_text").alias("code"))),
-    )
-    return manifest.withColumn("same", same).select("work_id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("c")).select("work_id", "c.*")
+    """(work_id, level, code): empty, short, long and duplicate works.  Copies are found by a count of each canonical text, so one
+    that a large part of the corpus shares is a row a task."""
+    many = manifest.groupBy("canonical_sha256").agg(F.count("*").alias("same")).filter("same > 1")
+    joined = manifest.join(many.hint("shuffle_merge"), "canonical_sha256", "left")
+    codes = F.concat("codes", F.when(F.col("same") > 1, F.array(F.lit("duplicate_text"))).otherwise(F.array().cast("array<string>")))
+    return joined.select("work_id", F.explode(codes).alias("code")).select("work_id", F.when(F.col("code") == "empty", "error").otherwise("warning").alias("level"), "code")
+
+
+def fingerprint(manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fingerprint): a digest of each key's works that no order or partitioning changes, and one byte of one work does.
+
+    A hash tree: a work's leaf is the hash of its id and canonical text; leaves with the same first six hexadecimal digits, in
+    order, make a node, nodes with the same first three the next, and those, 4,096 at most, the fingerprint.  So no group holds
+    all works: a node has 4,096 children, or a work in 16.7 million."""
+    rows = manifest.select(*keys, F.sha2(F.concat_ws(":", F.col("work_id").cast("string"), F.col("canonical_sha256")), 256).alias("leaf"))
+    node = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256).alias("digest")
+    first = rows.groupBy(*keys, F.left("leaf", F.lit(6)).alias("at")).agg(node("leaf"))
+    second = first.groupBy(*keys, F.left("at", F.lit(3)).alias("at")).agg(node(F.concat("at", "digest")))
+    return second.groupBy(*keys).agg(node(F.concat("at", "digest"))).withColumnRenamed("digest", "fingerprint")
 
 
 def release_summary(manifest: DataFrame) -> DataFrame:
-    return manifest.groupBy("poet").agg(F.count("*").alias("works"), F.sum("bytes").alias("bytes"), F.sum("words").alias("words"), F.countDistinct("sha256").alias("texts"))
+    """Per poet: works, bytes, words, distinct texts, works with each warning code, and fingerprint."""
+    codes = [F.count_if(F.array_contains("codes", c)).alias(c) for c in ("empty", "long", "short")]
+    totals = manifest.groupBy("poet").agg(F.count("*").alias("works"), F.sum("bytes").alias("bytes"), F.sum("words").alias("words"), F.countDistinct("sha256").alias("texts"), *codes)
+    t, f = totals.alias("t"), fingerprint(manifest, ["poet"]).hint("shuffle_merge").alias("f")
+    return t.join(f, F.col("t.poet").eqNullSafe(F.col("f.poet"))).select("t.*", "fingerprint")
+
+
+def release_fingerprint(manifest: DataFrame) -> DataFrame:
+    """The whole release: works, bytes, issues by code, and fingerprint; one row."""
+    issues = corpus_issues(manifest).groupBy().agg(*[F.count_if(F.col("code") == c).alias(c) for c in ("empty", "long", "short", "duplicate_text")])
+    totals = manifest.groupBy().agg(F.count("*").alias("works"), F.sum("bytes").alias("bytes"))
+    one = lambda df: df.withColumn("k", F.lit(0))  # three rows of one table each
+    return one(totals).join(one(issues).hint("shuffle_merge"), "k").join(one(fingerprint(manifest, [])).hint("shuffle_merge"), "k", "left").drop("k")
 
 
 def incremental(manifest: DataFrame, profiles: DataFrame) -> DataFrame:

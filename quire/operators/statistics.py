@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, summary, syllables
@@ -27,23 +27,54 @@ def coverage(matches: DataFrame) -> DataFrame:
 def six_profiles(evidence: DataFrame) -> DataFrame:
     """Statistics of ``value`` in three scopes (all, without stopwords, content words) and two weightings.
 
-    ``evidence``: work_id, form, pos, value (null if unmatched), is_stopword, is_content.  A token stands
-    in every scope that holds it and, if first of its form there, in the type weighting: one explode and
-    one aggregate make all six profiles.  Forms are counted per work first, so that the type weighting
-    needs no second shuffle.
+    ``evidence``: work_id, form, pos, value (null if unmatched), is_stopword, is_content.  Forms are counted per work first,
+    so that a token counts as often as it stands there, and a type once.
     """
-    forms = evidence.groupBy("work_id", "form", "is_stopword", "is_content").agg(F.count("*").alias("n"), F.first("value").alias("value"))
-    scopes = F.filter(F.array(F.lit("all"), F.when(~F.col("is_stopword"), F.lit("without_stopwords")), F.when(F.col("is_content") & ~F.col("is_stopword"), F.lit("content"))), lambda s: s.isNotNull())
-    views = forms.withColumn("scope", F.explode(scopes)).withColumn("w", F.explode(F.array(F.struct(F.lit("token").alias("weighting"), F.col("n").alias("times")), F.struct(F.lit("type").alias("weighting"), F.lit(1).cast("bigint").alias("times")))))
-    views = views.select("work_id", "scope", "w.*", "value")
-    hits = F.sum(F.when(F.col("value").isNotNull(), F.col("times")))
-    mean = F.sum(F.col("value") * F.col("times")) / hits
-    quart = lambda q: F.when(hits > 1, F.expr(f"percentile(value, {q}, case when value is null then 0 else times end)"))
-    spread = F.sqrt(F.greatest(F.sum(F.col("value") * F.col("value") * F.col("times")) / hits - mean * mean, F.lit(0.0)))
-    return views.groupBy("work_id", "scope", "weighting").agg(
-        F.sum("times").alias("eligible"), F.coalesce(hits, F.lit(0)).alias("matched"), mean.alias("mean"), F.expr("percentile(value, 0.5, case when value is null then 0 else times end)").alias("median"),
-        F.when(hits > 1, spread).alias("sd"), quart(0.25).alias("q1"), quart(0.75).alias("q3"), F.sum(F.col("value") * F.col("times")).alias("total"), (hits / F.sum("times")).alias("coverage"),
-    )
+    return form_profiles(evidence.groupBy("work_id", "form", "is_stopword", "is_content").agg(F.count("*").alias("n"), F.first("value").alias("value")))
+
+
+def weighted_summary(value: Column, times: Column) -> Column:
+    """count, mean, median, sd, minimum, q1, q3, maximum, total of a value that stands ``times`` times, a struct; one pass for all
+    three quantiles.  Rows without a value or with times 0 don't count."""
+    counted = F.when(value.isNotNull(), times).otherwise(0)
+    n, total = F.sum(counted), F.sum(value * times)
+    held, mean = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), counted), total / F.nullif(n, F.lit(0))
+    sd = F.sqrt(F.greatest(F.sum(value * value * times) / F.nullif(n, F.lit(0)) - mean * mean, F.lit(0.0)))
+    there, many = F.when(counted > 0, value), lambda x: F.when(n > 1, x)
+    parts = {"count": n, "mean": mean, "median": F.get(held, F.lit(1)), "sd": many(sd), "minimum": F.min(there), "q1": many(F.get(held, F.lit(0))), "q3": many(F.get(held, F.lit(2))), "maximum": F.max(there), "total": F.when(n > 0, total)}
+    return F.struct(*[x.alias(k) for k, x in parts.items()])
+
+
+def _views(forms: DataFrame, scopes: dict[str, Column], values: dict[str, str]) -> DataFrame:
+    """work_id, scope, weighting, dimension, eligible, s (``weighted_summary``): all views of a work's forms in one aggregate, as
+    columns first, rows after it."""
+    made = []
+    for scope, inside in scopes.items():
+        for weighting, n in (("token", F.col("n")), ("type", F.lit(1).cast("bigint"))):
+            times = F.when(inside, n).otherwise(F.lit(0).cast("bigint"))
+            made += [F.struct(F.lit(scope).alias("scope"), F.lit(weighting).alias("weighting"), F.lit(d).alias("dimension"), F.sum(times).alias("eligible"), weighted_summary(F.col(c), times).alias("s")) for d, c in values.items()]
+    return forms.groupBy("work_id").agg(F.array(*made).alias("v")).select("work_id", F.explode("v").alias("v")).select("work_id", "v.*")
+
+
+#: Fewer matched tokens are sparse.
+SPARSE = 5
+
+
+def form_profiles(forms: DataFrame) -> DataFrame:
+    """``six_profiles`` of counted forms: work_id, form, n, value, is_stopword, is_content."""
+    scopes = {"all": F.lit(True), "without_stopwords": ~F.col("is_stopword"), "content": F.col("is_content") & ~F.col("is_stopword")}
+    rows = _views(forms, scopes, {"value": "value"}).filter("eligible > 0")
+    s = lambda c: F.col(f"s.{c}").alias(c)
+    return rows.select("work_id", "scope", "weighting", "eligible", F.col("s.count").alias("matched"), s("mean"), s("median"), s("sd"), s("q1"), s("q3"), s("total"), ratio("s.count", "eligible").alias("coverage"), (100 * F.col("s.total") / F.nullif("eligible", F.lit(0))).alias("per_100"))
+
+
+def vad_profiles(forms: DataFrame) -> DataFrame:
+    """Statistics of three dimensions, with and without stopwords, by token and by type, on the lexicon's scale of 1 to 9 and on
+    0 to 1, and whether they rest on few words.  ``forms``: work_id, form, n, value, arousal, dominance, is_stopword."""
+    rows = _views(forms, {"all": F.lit(True), "without_stopwords": ~F.col("is_stopword")}, {"valence": "value", "arousal": "arousal", "dominance": "dominance"})
+    names = ("count", "mean", "median", "sd", "minimum", "q1", "q3", "maximum")
+    original = lambda c: (8 * F.col(f"s.{c}") + (0 if c == "sd" else 1)).alias(f"original_{c}")
+    return rows.filter("s.count > 0").select("work_id", F.col("scope").alias("view"), "weighting", "dimension", *[F.col(f"s.{c}").alias(c) for c in names], *[original(c) for c in names[1:]], (F.col("s.count") < SPARSE).alias("is_sparse"))
 
 
 def midpoint_loads(matches: DataFrame) -> DataFrame:

@@ -77,6 +77,18 @@ def evidence(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataF
     return rows.withColumn("is_stopword", F.col("form").isin(STOPWORDS)).withColumn("is_content", F.col("tag").isin(*structure.CONTENT))
 
 
+def form_counts(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """work_id, form, n of every word of a work.  Tokens are dealt by work once; what is summed up by work from here on
+    needs no other exchange."""
+    return words(spark, sf_dir, lang).select("work_id", "form").repartition("work_id").groupBy("work_id", "form").agg(F.count("*").alias("n"))
+
+
+def form_evidence(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """``form_counts`` with tag, lemma and scores, and whether a form is a stopword or a content word."""
+    rows = structure.annotate_pos_lemma(form_counts(spark, sf_dir, lang), lexicon(spark, sf_dir, lang).drop("listed"))
+    return rows.withColumn("is_stopword", F.col("form").isin(STOPWORDS)).withColumn("is_content", F.col("tag").isin(*structure.CONTENT))
+
+
 def work_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir).groupBy("work_id").agg(F.avg("value").alias("valence"), F.avg("arousal").alias("arousal"), F.avg("dominance").alias("dominance"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"), F.count("*").alias("tokens"))
 

@@ -34,8 +34,11 @@ def _query(sql: str | None, prelude: bool | str = True):
 
 # --- ingest ---------------------------------------------------------------------------------------
 
-_MANIFEST = """SELECT work_id, poet, strlen(text) AS bytes, sha256(text) AS sha256, length(text) AS chars, len(string_split(text, chr(10))) AS lines,
-len([x for x in string_split(text, chr(10)) if trim(x) <> '']) AS filled_lines, len(regexp_extract_all(text, '\\p{L}+')) AS words FROM wk"""
+_MANIFEST = """SELECT *, [x for x in [CASE WHEN words = 0 THEN 'empty' END, CASE WHEN words > 5000 OR filled_lines > 500 THEN 'long' END, CASE WHEN words > 0 AND (words < 20 OR filled_lines < 4) THEN 'short' END] if x IS NOT NULL] AS codes FROM (SELECT work_id, poet, strlen(text) AS bytes, sha256(text) AS sha256, sha256(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g')) AS canonical_sha256, length(text) AS chars, len(string_split(text, chr(10))) AS lines,
+len([x for x in string_split(text, chr(10)) if trim(x) <> '']) AS filled_lines, len(regexp_extract_all(text, '\\p{L}+')) AS words FROM wk)"""
+_ISSUES = f"mf AS MATERIALIZED ({_MANIFEST}), iss AS (SELECT work_id, unnest(codes) AS code FROM mf UNION ALL SELECT work_id, 'duplicate_text' FROM (SELECT *, count(*) OVER (PARTITION BY canonical_sha256) AS same FROM mf) WHERE same > 1)"
+_TREE = lambda keys: f"""n1 AS (SELECT {keys}left(leaf, 6) AS g, sha256(string_agg(leaf, '' ORDER BY leaf)) AS digest FROM (SELECT *, sha256(work_id || ':' || canonical_sha256) AS leaf FROM mf) GROUP BY ALL),
+n2 AS (SELECT {keys}left(g, 3) AS g3, sha256(string_agg(g || digest, '' ORDER BY g || digest)) AS digest FROM n1 GROUP BY ALL), nf AS (SELECT {keys}sha256(string_agg(g3 || digest, '' ORDER BY g3 || digest)) AS fingerprint FROM n2 GROUP BY ALL)"""
 
 
 @_query(_MANIFEST)
@@ -43,18 +46,21 @@ def corpus_manifest(spark, sf_dir):
     return corpus.corpus_manifest(base.works(spark, sf_dir))
 
 
-@_query(f""", mf AS ({_MANIFEST}), c AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS same FROM mf)
-SELECT work_id, 'error' AS level, 'empty' AS code FROM c WHERE words = 0 UNION ALL SELECT work_id, 'warning', 'short' FROM c WHERE words > 0 AND (words < 20 OR filled_lines < 4)
-UNION ALL SELECT work_id, 'warning', 'long' FROM c WHERE words > 5000 OR filled_lines > 500 UNION ALL SELECT work_id, 'warning', 'duplicate_text' FROM c WHERE same > 1""")
+@_query(f", {_ISSUES} SELECT work_id, CASE WHEN code = 'empty' THEN 'error' ELSE 'warning' END AS level, code FROM iss")
 def corpus_issues(spark, sf_dir):
     return corpus.corpus_issues(corpus.corpus_manifest(base.works(spark, sf_dir)))
 
 
-@_query(f", mf AS ({_MANIFEST}) SELECT poet, count(*) AS works, sum(bytes)::BIGINT AS bytes, sum(words)::BIGINT AS words, count(DISTINCT sha256) AS texts FROM mf GROUP BY poet")
+@_query(f""", {_ISSUES}, {_TREE('poet, ')} SELECT s.*, nf.fingerprint FROM (SELECT poet, count(*) AS works, sum(bytes)::BIGINT AS bytes, sum(words)::BIGINT AS words, count(DISTINCT sha256) AS texts, count(*) FILTER (list_contains(codes, 'empty')) AS empty, count(*) FILTER (list_contains(codes, 'long')) AS long, count(*) FILTER (list_contains(codes, 'short')) AS short FROM mf GROUP BY poet) s JOIN nf ON nf.poet IS NOT DISTINCT FROM s.poet""")
 def corpus_release_summary(spark, sf_dir):
     return corpus.release_summary(corpus.corpus_manifest(base.works(spark, sf_dir)))
 
 
+@_query(f""", {_ISSUES}, {_TREE('')} SELECT (SELECT count(*) FROM mf) AS works, (SELECT sum(bytes)::BIGINT FROM mf) AS bytes, count(*) FILTER (code = 'empty') AS empty, count(*) FILTER (code = 'long') AS long, count(*) FILTER (code = 'short') AS short, count(*) FILTER (code = 'duplicate_text') AS duplicate_text, (SELECT fingerprint FROM nf) AS fingerprint FROM iss""")
+def corpus_release_fingerprint(spark, sf_dir):
+    return corpus.release_fingerprint(corpus.corpus_manifest(base.works(spark, sf_dir)))
+
+
 @_query("SELECT source AS corpus, count(*) AS works, count(DISTINCT lang) AS poets FROM documents GROUP BY source", prelude=False)
 def corpus_registry(spark, sf_dir):
     return base.read(spark, sf_dir, "documents").groupBy(F.col("source").alias("corpus")).agg(F.count("*").alias("works"), F.countDistinct("lang").alias("poets"))
@@ -264,15 +270,15 @@ def descriptive_stats(spark, sf_dir):
     return statistics.descriptive_stats(base.matches(spark, sf_dir), ["work_id"], "value")
 
 
-@_query(f"""SELECT work_id, dimension, weighting, {STATS} FROM (
-SELECT work_id, d.dimension, w.weighting, CASE d.dimension WHEN 'valence' THEN m.value WHEN 'arousal' THEN m.arousal ELSE m.dominance END AS value
-FROM (SELECT *, row_number() OVER (PARTITION BY work_id, form ORDER BY pos) AS rn FROM m WHERE value IS NOT NULL) m, (SELECT unnest(['valence', 'arousal', 'dominance']) AS dimension) d, (SELECT unnest(['token', 'type']) AS weighting) w WHERE w.weighting = 'token' OR rn = 1)
-GROUP BY ALL""")
+_ORIGINAL = ", ".join(f"round({8} * {c} + {0 if c == 'sd' else 1}, 6) AS original_{c}" for c in ("mean", "median", "sd", "minimum", "q1", "q3", "maximum"))
+
+
+@_query(f""", v AS (SELECT work_id, view, weighting, dimension, count(value) AS count, avg(value) AS mean, quantile_cont(value, 0.5) AS median, CASE WHEN count(value) > 1 THEN stddev_pop(value) END AS sd, min(value) AS minimum, CASE WHEN count(value) > 1 THEN quantile_cont(value, 0.25) END AS q1, CASE WHEN count(value) > 1 THEN quantile_cont(value, 0.75) END AS q3, max(value) AS maximum FROM (
+SELECT work_id, s.view, d.dimension, w.weighting, CASE d.dimension WHEN 'valence' THEN m.value WHEN 'arousal' THEN m.arousal ELSE m.dominance END AS value
+FROM (SELECT *, row_number() OVER (PARTITION BY work_id, form ORDER BY pos) AS rn FROM e WHERE value IS NOT NULL) m, (SELECT unnest(['valence', 'arousal', 'dominance']) AS dimension) d, (SELECT unnest(['token', 'type']) AS weighting) w, (SELECT unnest(['all', 'without_stopwords']) AS view) s WHERE (w.weighting = 'token' OR rn = 1) AND (s.view = 'all' OR NOT is_stopword))
+GROUP BY ALL) SELECT work_id, view, weighting, dimension, count, round(mean, 6) AS mean, round(median, 6) AS median, round(sd, 6) AS sd, round(minimum, 6) AS minimum, round(q1, 6) AS q1, round(q3, 6) AS q3, round(maximum, 6) AS maximum, {_ORIGINAL}, count < 5 AS is_sparse FROM v""")
 def vad_summary(spark, sf_dir):
-    m = base.matches(spark, sf_dir).filter("value is not null").withColumnRenamed("value", "valence")
-    rows = m.withColumn("weighting", F.lit("token")).unionByName(statistics.type_dedup(m).withColumn("weighting", F.lit("type")))
-    long = rows.select("work_id", "weighting", F.expr("stack(3, 'valence', valence, 'arousal', arousal, 'dominance', dominance) AS (dimension, value)"))
-    return statistics.descriptive_stats(long, ["work_id", "dimension", "weighting"], "value")
+    return statistics.vad_profiles(base.form_evidence(spark, sf_dir))
 
 
 @_query("SELECT work_id, form, pos FROM (SELECT *, row_number() OVER (PARTITION BY work_id, form ORDER BY pos) AS rn FROM m WHERE value IS NOT NULL) WHERE rn = 1")
@@ -287,11 +293,11 @@ def coverage(spark, sf_dir):
 
 
 @_query("""SELECT work_id, scope, weighting, count(*) AS eligible, count(value) AS matched, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, CASE WHEN count(value) > 1 THEN round(stddev_pop(value), 6) END AS sd,
-CASE WHEN count(value) > 1 THEN round(quantile_cont(value, 0.25), 6) END AS q1, CASE WHEN count(value) > 1 THEN round(quantile_cont(value, 0.75), 6) END AS q3, round(sum(value), 6) AS total, CASE WHEN count(value) > 0 THEN round(count(value) / count(*), 6) END AS coverage
+CASE WHEN count(value) > 1 THEN round(quantile_cont(value, 0.25), 6) END AS q1, CASE WHEN count(value) > 1 THEN round(quantile_cont(value, 0.75), 6) END AS q3, round(sum(value), 6) AS total, round(count(value) / count(*), 6) AS coverage, round(100 * sum(value) / count(*), 6) AS per_100
 FROM (SELECT x.*, s.scope, w.weighting FROM (SELECT *, row_number() OVER (PARTITION BY work_id, form ORDER BY pos) AS rn FROM e) x, (SELECT unnest(['all', 'without_stopwords', 'content']) AS scope) s, (SELECT unnest(['token', 'type']) AS weighting) w
 WHERE (s.scope = 'all' OR NOT is_stopword) AND (s.scope <> 'content' OR is_content) AND (w.weighting = 'token' OR rn = 1)) GROUP BY ALL""")
 def six_profiles(spark, sf_dir):
-    return statistics.six_profiles(base.evidence(spark, sf_dir))
+    return statistics.form_profiles(base.form_evidence(spark, sf_dir))
 
 
 @_query("""SELECT work_id, count(*) AS n, round(sum(greatest(value - 0.5, 0)), 6) AS above, round(sum(greatest(0.5 - value, 0)), 6) AS below, round(sum(value - 0.5), 6) AS net, round(sum(abs(value - 0.5)), 6) AS absolute, round(sum(value - 0.5) / count(*), 6) AS net_each, round(avg(abs(value - c)), 6) AS mean_distance

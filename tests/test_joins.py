@@ -88,3 +88,19 @@ def test_ranks_over_ranges(spark):
         assert (got[i].distinctive, got[i].characteristic) == (pytest.approx(p), pytest.approx(1 - p))
     assert len(got) == len(rows)
     assert corpus.characteristicity(spark.createDataFrame([], "id long, distance double")).collect() == []
+
+
+def test_a_fingerprint_holds_every_byte_and_no_order(spark):
+    rows = [(i, "ab"[i % 2], f"text {i} of many\r\nlines {i * i}") for i in range(500)] + [(900, None, ""), (901, None, None)]
+    prints = lambda rows, parts, keys: {tuple(r[k] for k in keys): r.fingerprint for r in corpus.fingerprint(corpus.corpus_manifest(spark.createDataFrame(rows, "work_id long, poet string, text string").repartition(parts)), keys).collect()}
+    whole = prints(rows, 1, [])
+    assert whole == prints(rows[::-1], 16, []) == prints([(i, p, t and t.replace("\r\n", "\n")) for i, p, t in rows], 3, [])
+    other = [(i, p, t + "." if i == 77 else t) for i, p, t in rows]
+    assert prints(other, 4, []) != whole
+    before, after = prints(rows, 2, ["poet"]), prints(other, 5, ["poet"])
+    assert set(before) == {("a",), ("b",), (None,)} and {k for k in before if before[k] != after[k]} == {("b",)}
+    assert prints(rows + [rows[3]], 2, []) != whole and prints(rows[:-1], 2, []) != whole
+    codes = {r.work_id: r.codes for r in corpus.corpus_manifest(spark.createDataFrame(rows[:1] + rows[-2:-1], "work_id long, poet string, text string")).collect()}
+    assert codes == {0: ["short"], 900: ["empty"]}
+    issues = corpus.corpus_issues(corpus.corpus_manifest(spark.createDataFrame([(1, "a", "x\r\ny"), (2, "a", "x\ny"), (3, "a", "")], "work_id long, poet string, text string")))
+    assert sorted((r.work_id, r.level, r.code) for r in issues.collect()) == [(1, "warning", "duplicate_text"), (1, "warning", "short"), (2, "warning", "duplicate_text"), (2, "warning", "short"), (3, "error", "empty")]
