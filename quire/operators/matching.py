@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import possessive_base, text_lines
+from ..sources.tables import written
 
 
 def match_exact(token_rows: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -21,19 +22,25 @@ def match_exact(token_rows: DataFrame, lexicon: DataFrame) -> DataFrame:
 def match_cascade(token_rows: DataFrame, lexicon: DataFrame, collisions: DataFrame | None = None) -> DataFrame:
     """Adds term, method: the first hit of exact form, possessive base, lemma.
 
-    All candidate keys of a distinct (form, lemma) are exploded with their rank and joined once; a key in
-    ``collisions`` (form) stops the cascade as unmatched.
-    """
-    forms = token_rows.select("form", "lemma").distinct()
-    keys = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(m).alias("method"), k.alias("key")) for r, (m, k) in enumerate((("exact", F.col("form")), ("possessive", possessive_base(F.col("form"))), ("lemma", F.col("lemma"))))])
-    tried = forms.select("form", "lemma", F.explode(keys).alias("k")).select("form", "lemma", "k.*").filter("key is not null")
-    listed = lexicon.select(F.col("form").alias("key"), F.lit(True).alias("usable"))
+    All candidate keys of a distinct (form, lemma), and surface where case matters, are exploded with their rank and joined
+    once.  ``collisions`` (form, and term, one of several spellings that differ in case only) are held apart from the
+    lexicon: a key among them gives the term that the text spells in the same way, or stops the cascade as ``collision``.
+    What is found is written out, so its size decides how the tokens are joined with it."""
+    cased = collisions is not None and "term" in collisions.columns
+    names = ["form", "lemma", "surface"] if cased else ["form", "lemma"]
+    spelled = F.col("surface") if cased else F.col("form")
+    tried = (("exact", F.col("form"), spelled), ("possessive", possessive_base(F.col("form")), possessive_base(spelled)), ("lemma", F.col("lemma"), F.col("lemma")))
+    keys = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(m).alias("method"), k.alias("key"), t.alias("spelled")) for r, (m, k, t) in enumerate(tried)])
+    forms = token_rows.select(*names).distinct().select(*names, F.explode(keys).alias("k")).select(*names, "k.*").filter("key is not null")
+    listed = lexicon.select(F.col("form").alias("key"), F.col("form").alias("term"), F.lit(False).alias("apart"))
     if collisions is not None:
-        listed = listed.unionByName(collisions.select(F.col("form").alias("key"), F.lit(False).alias("usable")))
-    hits = tried.join(listed.hint("shuffle_merge"), "key").groupBy("form", "lemma").agg(F.min_by(F.struct("key", "method", "usable"), F.struct("rank", "usable")).alias("hit"))
-    hits = hits.select("form", "lemma", F.when(F.col("hit.usable"), F.col("hit.key")).alias("term"), F.when(F.col("hit.usable"), F.col("hit.method")).otherwise("collision").alias("method"))
-    joined = token_rows.join(hits.hint("shuffle_merge"), ["form", "lemma"], "left")
-    return joined.withColumn("method", F.coalesce("method", F.lit("unmatched")))
+        apart = collisions.select(F.col("form").alias("key"), (F.col("term") if cased else F.lit(None).cast("string")).alias("term"), F.lit(True).alias("apart"))
+        listed = listed.join(apart.select("key").distinct().hint("shuffle_merge"), "key", "left_anti").unionByName(apart)
+    same = F.coalesce(~F.col("apart") | (F.col("term") == F.col("spelled")), F.lit(False))
+    found = forms.join(listed.hint("shuffle_merge"), "key").withColumn("same", same)
+    hit = F.min_by(F.struct("term", "method", "same"), F.struct("rank", ~F.col("same"), "term"))
+    hits = found.groupBy(*names).agg(hit.alias("hit")).select(*names, F.when(F.col("hit.same"), F.col("hit.term")).alias("term"), F.when(F.col("hit.same"), F.col("hit.method")).otherwise("collision").alias("method"))
+    return token_rows.join(written(hits, "hits"), names, "left").withColumn("method", F.coalesce("method", F.lit("unmatched")))
 
 
 def phrase_sizes(phrases: DataFrame) -> list[int]:

@@ -222,9 +222,27 @@ def _cascade(spark, sf_dir):
     return matching.match_cascade(base.tagged(spark, sf_dir), base.norms(spark, sf_dir))
 
 
-@_query(f", {_CASCADE} SELECT work_id, pos, form, term, method FROM c")
+_DIGIT = lambda at: f"('0x' || substr(md5(form), {at}, 1))::INT"
+_OWNS = _DIGIT(24) + " = 0"
+
+
+@_query(f""", sf AS (SELECT form, surface, row_number() OVER (PARTITION BY form ORDER BY surface DESC) AS k, count(*) OVER (PARTITION BY form) AS n FROM (SELECT DISTINCT form, surface FROM t)), co AS (SELECT form, surface AS term FROM sf WHERE n > 1 AND k <= 2 AND {_DIGIT(25)} < 4), en AS (SELECT form FROM nm ANTI JOIN co USING (form)),
+tw AS (SELECT work_id, pos, form AS base, CASE WHEN {_OWNS} THEN form || chr(39) || 's' ELSE form END AS written, lemma, surface AS spelled, {_OWNS} AS owns FROM e),
+hs AS (SELECT tw.*, x.form AS xf, cx.form AS cxf, cs.term AS cst, l.form AS lf, cl.form AS clf, cm.term AS cmt FROM tw LEFT JOIN en x ON x.form = tw.base LEFT JOIN (SELECT DISTINCT form FROM co) cx ON cx.form = tw.base LEFT JOIN co cs ON cs.form = tw.base AND cs.term = tw.spelled LEFT JOIN en l ON l.form = tw.lemma AND NOT owns LEFT JOIN (SELECT DISTINCT form FROM co) cl ON cl.form = tw.lemma AND NOT owns LEFT JOIN co cm ON cm.form = tw.lemma AND cm.term = tw.lemma AND NOT owns)
+SELECT work_id, pos, written AS form, coalesce(cst, xf, CASE WHEN cxf IS NULL THEN coalesce(cmt, lf) END) AS term, CASE WHEN cst IS NOT NULL OR xf IS NOT NULL THEN CASE WHEN owns THEN 'possessive' ELSE 'exact' END WHEN cxf IS NOT NULL THEN 'collision' WHEN cmt IS NOT NULL OR lf IS NOT NULL THEN 'lemma' WHEN clf IS NOT NULL THEN 'collision' ELSE 'unmatched' END AS method FROM hs""")
 def match_cascade(spark, sf_dir):
-    return _cascade(spark, sf_dir).select("work_id", "pos", "form", "term", "method")
+    """The texts have no apostrophes, so one word in sixteen is read as a possessive; entries collide where the works spell a word
+    in several ways, and two of its spellings are entries."""
+    owns = base.digit("form", 24, 1) == 0
+    add = lambda c: F.when(owns, F.concat(F.col(c), F.lit("'s"))).otherwise(F.col(c))
+    tokens = base.tagged(spark, sf_dir).select("work_id", "pos", add("form").alias("form"), add("surface").alias("surface"), F.when(owns, F.concat("form", F.lit("'s"))).otherwise(F.col("lemma")).alias("lemma"))
+
+    def make():
+        spellings = base.words(spark, sf_dir).select("form", "surface").distinct().groupBy("form").agg(F.sort_array(F.collect_list("surface"), asc=False).alias("s"))
+        return spellings.filter((F.size("s") > 1) & (base.digit("form", 25, 1) < 4)).select("form", F.explode(F.slice("s", 1, 2)).alias("term"))
+
+    collisions = kept(spark, f"collisions {sf_dir}", make)
+    return matching.match_cascade(tokens, base.norms(spark, sf_dir), collisions).select("work_id", "pos", "form", "term", "method")
 
 
 @_query(f", {_CASCADE} SELECT work_id, form, count(*) AS frequency, min(line_no) AS first_line, arg_min(surface, pos) AS example FROM c WHERE term IS NULL GROUP BY work_id, form")

@@ -104,3 +104,15 @@ def test_a_fingerprint_holds_every_byte_and_no_order(spark):
     assert codes == {0: ["short"], 900: ["empty"]}
     issues = corpus.corpus_issues(corpus.corpus_manifest(spark.createDataFrame([(1, "a", "x\r\ny"), (2, "a", "x\ny"), (3, "a", "")], "work_id long, poet string, text string")))
     assert sorted((r.work_id, r.level, r.code) for r in issues.collect()) == [(1, "warning", "duplicate_text"), (1, "warning", "short"), (2, "warning", "duplicate_text"), (2, "warning", "short"), (3, "error", "empty")]
+
+
+def test_cascade_with_spellings_held_apart(spark):
+    tokens = [("polish", "polish", "polish"), ("polish", "polish", "Polish"), ("polish", "polish", "POLISH"), ("polish's", "polish's", "Polish's"), ("polish's", "polish's", "POLISH's"), ("stones", "stone", "stones"), ("marches", "march", "Marches"), ("zzz", "zzz", "zzz"), ("may", "may", "May"), ("seas'", "seas'", "seas'")]
+    rows = spark.createDataFrame([(1, i, *t) for i, t in enumerate(tokens)], "work_id int, pos int, form string, lemma string, surface string")
+    lexicon = spark.createDataFrame([("stone",), ("polish",), ("seas",)], "form string")
+    apart = spark.createDataFrame([("polish", "polish"), ("polish", "Polish"), ("march", "March"), ("march", "MARCH"), ("may", "May"), ("may", "may")], "form string, term string")
+    got = {r.surface: (r.term, r.method) for r in matching.match_cascade(rows, lexicon, apart).collect()}
+    assert got == {
+        "polish": ("polish", "exact"), "Polish": ("Polish", "exact"), "POLISH": (None, "collision"), "Polish's": ("Polish", "possessive"), "POLISH's": (None, "collision"),
+        "stones": ("stone", "lemma"), "Marches": (None, "collision"), "zzz": (None, "unmatched"), "May": ("May", "exact"), "seas'": ("seas", "possessive"),
+    }
