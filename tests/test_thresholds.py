@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import forms, meter, phonology, sound
+from quire.functions.columns import half_up
+from quire.operators import meter, phonology, sound
 from quire.plans import sound_queries
 
 
@@ -15,3 +16,12 @@ def test_rhymes_on_the_threshold(spark):
     rows = phonology.rhyme_pairs(endings, sound_queries._family()).collect()
     assert {r.stanza_no: r.relation for r in rows} == {1: "slant", 2: "ambiguous", 3: "ambiguous", 4: "slant"}
     assert {r.stanza_no: r.slant for r in phonology.rhyme_summary(endings, phonology.rhyme_pairs(endings, sound_queries._family())).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_a_fit_a_bit_below_a_half_goes_down(spark):
+    """31.7 of 64 syllables: the double is a bit less than 0.5046875."""
+    stress = "f002f200f010121100f012f20002f2ff0000ff21f012ff2f00222fff0000111f"
+    fits = meter.line_fits(spark.createDataFrame([([stress],)], "variants array<string>"))
+    best = F.array_max(F.transform("fits", lambda f: f["fit"]))
+    assert fits.select(half_up(best)).collect()[0][0] == 0.504687
+    assert [r[0] for r in spark.createDataFrame([(0.0,), (0.25,), (0.1234565,), (1.0,)], "x double").select(half_up(F.col("x"), 1)).collect()] == [0.0, 0.3, 0.1, 1.0]
