@@ -25,3 +25,11 @@ def test_a_fit_a_bit_below_a_half_goes_down(spark):
     best = F.array_max(F.transform("fits", lambda f: f["fit"]))
     assert fits.select(half_up(best)).collect()[0][0] == 0.504687
     assert [r[0] for r in spark.createDataFrame([(0.0,), (0.25,), (0.1234565,), (1.0,)], "x double").select(half_up(F.col("x"), 1)).collect()] == [0.0, 0.3, 0.1, 1.0]
+
+
+def test_a_word_without_an_option_counts_before_overflow(spark):
+    """1,100 words with two options each are beyond a double; times nothing they are still nothing."""
+    two = [["0", "1"]] * 1100
+    rows = spark.createDataFrame([(1, [*two, []]), (2, [[], *two]), (3, two), (4, [["0", "1"], ["1"]])], "id int, options array<array<string>>")
+    got = {r.id: (r["count"], r.status, r.variants) for r in meter.line_status(meter.stress_variants(rows)).collect()}
+    assert got == {1: (0.0, "missing", None), 2: (0.0, "missing", None), 3: (float("inf"), "too_many", None), 4: (2.0, "analysed", ["01", "11"])}
